@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, pieces, pii, quality, simhash, topk, toxicity, urls
+from . import licenses, lm, mixing, pieces, pii, quality, simhash, topk, toxicity, urls
 
 
 def queries():
     found = (
         urls.op1_url_filters,
+        lm.op2_lm_scoring,
         licenses.op3_license_scans,
         mixing.op4_mixing,
         toxicity.op5_toxicity,
