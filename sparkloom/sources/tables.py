@@ -27,7 +27,7 @@ def replay(events: DataFrame, dt: float, period: float | None = None, until: flo
     every = int((period + 1e-3 * dt) / dt)
     last = int((until + 1e-3 * dt) / dt)
     again = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.lit(last - 1) - F.col("tick")) / every)))
-    return out.filter(F.col("tick") < last).select("i", (F.col("tick") + F.explode(again) * every).alias("tick"))
+    return out.filter(F.col("tick") < last).select("i", "tick", F.explode(again).alias("_k")).select("i", (F.col("tick") + F.col("_k") * every).alias("tick"))
 
 
 def replay_issues(events: DataFrame, n: int, dt: float, period: float | None = None) -> DataFrame:
