@@ -17,6 +17,7 @@ combinations to learn from; repeated rows each give a row; extra columns are ign
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -71,7 +72,7 @@ class Classifier(NamedTuple):
         known = own & self.weights.keys() if len(own) > len(self.weights) else [w for w in own if w in self.weights]
         # sorted, so that the sum doesn't depend on the order within a set
         x = self.bias + sum(self.weights[w] for w in sorted(known))
-        return float(1 / (1 + np.exp(-np.clip(x, -500, 500))))
+        return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
@@ -137,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, n_features: int
             yield pa.RecordBatch.from_arrays([pa.array(real, kind), pa.array(other, kind), part.column(1)], ["x", "swapped", "toxic"])
 
     if not names:
-        return Classifier({}, -500.0)
+        return Classifier({}, -math.inf)
     spec = "x array<int>, swapped array<int>, toxic int"
     got = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(marked, spec)
     # at most one short list a sampled label; the order of the rows is fixed by sorting them

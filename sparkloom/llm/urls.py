@@ -129,7 +129,7 @@ def judge(pages: DataFrame, weights: Sequence[float], rules: Sequence[tuple[str,
     parts = pages.select("page_id", host_and_path(F.col("url")).alias("u")).select("page_id", "u.host", "u.path")
     x = logit(grams(F.col("host"), F.col("path"), buckets), fixed, F.lit(weights[-1]))
     scored = parts.withColumn("found", rule_for(F.col("host"), F.col("path"), rules)).withColumn("score", 1 / (1 + F.exp(-x)))
-    own = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
+    own = F.when(F.col("score") > 0.5, "block").otherwise("allow")
     own = F.when((F.col("host") == "") & (F.col("path") == ""), "allow").otherwise(own)
     return scored.select(
         "page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", own).alias("verdict"), "score"
