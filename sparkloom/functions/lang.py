@@ -173,6 +173,8 @@ def parse(text: str | ast.expr) -> ast.expr:
     for node in ast.walk(tree):
         if not isinstance(node, ALLOWED):
             raise LanguageError(f"{type(node).__name__} is not allowed in {text!r}")
+        if isinstance(node, ast.Constant) and not isinstance(node.value, (bool, int, float)):
+            raise LanguageError(f"only numbers are allowed in {text!r}")
         if isinstance(node, ast.Call) and (not isinstance(node.func, ast.Name) or node.keywords):
             raise LanguageError(f"only plain calls are allowed in {text!r}")
     return _Inline().visit(tree.body)
