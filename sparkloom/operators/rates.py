@@ -131,7 +131,9 @@ def histogram(events: DataFrame, bin_ticks: int) -> DataFrame:
 def exponential_trace(events: DataFrame, tau: float, weight: Column | None = None, block: float = 300.0) -> DataFrame:
     """The sum of decayed weights at each event, itself included (WIN-9). Within blocks of ``block`` time constants a
     running sum of scaled weights does it; across blocks only the last value of the block before matters, since what is
-    older has decayed below the smallest double."""
+    older has decayed by a whole block."""
+    if block < 30:
+        raise ValueError("blocks of less than 30 time constants would lose what decays across two of them")
     w = weight if weight is not None else F.lit(1.0)
     rows = events.withColumn("_b", F.floor(F.col("t") / F.lit(block * tau))).withColumn("_w", w)
     since = (F.col("t") - F.col("_b") * block * tau) / tau

@@ -61,11 +61,11 @@ def users(spark, sf_dir):
 
 @query("flagship", f"""
     SELECT e.i, tick // 3600 AS bin, count(*) AS n, count(*) / 3600.0::DOUBLE AS rate, round(sum(value), 6) AS total
-    FROM {EV} e WHERE value * 2 > 20 AND e.i < 100 GROUP BY ALL""")
+    FROM {EV} e WHERE value * 2 > 20 OR value < 1 GROUP BY ALL""")
 def flagship(spark, sf_dir):
     """Threshold by an expression of the language, then rates in hourly bins for each node."""
     events = stream(spark, sf_dir)
-    keep = lang.column("value*2 > 20 and i < 100", {c: F.col(c) for c in events.columns})
+    keep = lang.column("value*2 > 20 or value < 1", {c: F.col(c) for c in events.columns})
     return events.filter(keep).groupBy("i", F.floor(F.col("tick") / 3600).alias("bin")).agg(
         F.count("*").alias("n"), (F.count("*") / F.lit(3600.0)).alias("rate"), F.round(F.sum("value"), 6).alias("total")
     )
@@ -86,9 +86,9 @@ def _(spark, sf_dir):
 
 
 @query("src_3_periodic_replay", f"""
-    SELECT e.i, e.tick % 86400 + 86400 * k AS tick FROM {EV} e, range(3) p(k) WHERE e.i < 20""")
+    SELECT e.i, e.tick % 86400 + 86400 * k AS tick FROM {EV} e, range(3) p(k)""")
 def _(spark, sf_dir):
-    day = stream(spark, sf_dir).filter("i < 20").select("i", (F.col("tick") % 86400).cast("double").alias("t"))
+    day = stream(spark, sf_dir).select("i", (F.col("tick") % 86400).cast("double").alias("t"))
     return T.replay(day, 1.0, 86400.0, 3 * 86400.0)
 
 
@@ -112,19 +112,18 @@ def _(spark, sf_dir):
 
 
 @query("src_7_timed_array_2d", f"""
-    SELECT e.event_id, p.p_retailprice AS held FROM {EV} e LEFT JOIN part p ON p.p_partkey = e.i WHERE e.i < 50""")
+    SELECT e.event_id, p.p_retailprice AS held FROM {EV} e LEFT JOIN part p ON p.p_partkey = e.i""")
 def _(spark, sf_dir):
     values = table(spark, sf_dir, "part").select(F.lit(0).cast("bigint").alias("tick"), F.col("p_partkey").alias("i"), F.col("p_retailprice").alias("value"))
-    rows = stream(spark, sf_dir).filter("i < 50").drop("value")
+    rows = stream(spark, sf_dir).drop("value")
     return T.timed_array_2d(rows, values, 0).select("event_id", F.col("value").alias("held"))
 
 
 @query("src_8_edge_list", """
     SELECT l_suppkey AS i, l_partkey AS j, k FROM lineitem, range(3) r(k)
-    WHERE l_linenumber = 1 AND k < CAST(l_quantity AS INTEGER) % 3""")
+    WHERE k < CAST(l_quantity AS INTEGER) % 3""")
 def _(spark, sf_dir):
-    pairs = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
-    pairs = pairs.select(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j"), (F.col("l_quantity").cast("int") % 3).alias("n"))
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j"), (F.col("l_quantity").cast("int") % 3).alias("n"))
     return T.edge_list(pairs, F.col("n")).select("i", "j", F.col("k").cast("bigint").alias("k"))
 
 
@@ -432,12 +431,12 @@ def _(spark, sf_dir):
 
 @query("agg_13_mean_correlation", f"""
     WITH c AS (SELECT u.i, b.bin, coalesce(n, 0)::DOUBLE AS n FROM {USERS} u CROSS JOIN range(30) b(bin)
-        LEFT JOIN (SELECT i, tick // 86400 AS bin, count(*) AS n FROM {EV} e GROUP BY ALL) k ON k.i = u.i AND k.bin = b.bin WHERE u.i < 60),
+        LEFT JOIN (SELECT i, tick // 86400 AS bin, count(*) AS n FROM {EV} e GROUP BY ALL) k ON k.i = u.i AND k.bin = b.bin),
     z AS (SELECT bin, (n - avg(n) OVER w) / sqrt(var_pop(n) OVER w * 30) AS z FROM c WINDOW w AS (PARTITION BY i)),
     s AS (SELECT sum(z) AS s FROM z GROUP BY bin), m AS (SELECT count(DISTINCT i) AS nodes FROM c)
     SELECT round((sum(s * s) - nodes) / (nodes * (nodes - 1)), 9) AS correlation, nodes FROM s, m GROUP BY nodes""")
 def _(spark, sf_dir):
-    nodes = users(spark, sf_dir).filter("i < 60")
+    nodes = users(spark, sf_dir)
     binned = R.binned_rate(stream(spark, sf_dir), nodes, 30, 86400, 1 / 86400).withColumnRenamed("rate", "n")
     return R.mean_correlation(binned).select(F.round("correlation", 9).alias("correlation"), "nodes")
 
@@ -496,11 +495,11 @@ def _(spark, sf_dir):
 
 
 @query("win_9_exponential_trace", f"""
-    WITH e AS (SELECT * FROM {EV} x WHERE i < 40)
+    WITH e AS (SELECT * FROM {EV} x)
     SELECT a.event_id, round(sum(b.value * exp((b.t - a.t) / 20000.0::DOUBLE)), 6) AS trace
     FROM e a JOIN e b ON a.i = b.i AND b.t <= a.t GROUP BY 1""")
 def _(spark, sf_dir):
-    rows = stream(spark, sf_dir).filter("i < 40")
+    rows = stream(spark, sf_dir)
     return R.exponential_trace(rows, 20000.0, F.col("value"), block=30.0).select("event_id", F.round("trace", 6).alias("trace"))
 
 
@@ -577,23 +576,189 @@ def _(spark, sf_dir):
 
 
 @query("prj_15_refractory_filter", f"""
-    WITH RECURSIVE o AS (SELECT i, t, event_id, row_number() OVER (PARTITION BY i ORDER BY t, event_id) AS k FROM {EV} e WHERE i < 30),
+    WITH RECURSIVE o AS (SELECT i, t, event_id, row_number() OVER (PARTITION BY i ORDER BY t, event_id) AS k FROM {EV} e),
     r AS (SELECT i, k, event_id, t AS last, true AS keep FROM o WHERE k = 1 UNION ALL
         SELECT o.i, o.k, o.event_id, CASE WHEN o.t - r.last >= 40000 THEN o.t ELSE r.last END, o.t - r.last >= 40000 FROM r JOIN o ON o.i = r.i AND o.k = r.k + 1)
     SELECT i, event_id FROM r WHERE keep""")
 def _(spark, sf_dir):
     from ..streaming.stateful import refractory
 
-    return refractory(stream(spark, sf_dir).filter("i < 30"), 40000.0).select("i", "event_id")
+    return refractory(stream(spark, sf_dir), 40000.0).select("i", "event_id")
 
 
 @query("str_9_stdp")
 def _(spark, sf_dir):
-    rows = stream(spark, sf_dir).filter("i < 40")
-    edges = order_edges(spark, sf_dir).filter("i < 40").select("i", (F.col("j") % 40).alias("j"), F.col("j").alias("seq"), F.lit(0.5).alias("w"))
+    rows = stream(spark, sf_dir)
+    edges = order_edges(spark, sf_dir).select("i", (F.col("j") % 150).alias("j"), F.col("j").alias("seq"), F.lit(0.5).alias("w"))
     return stdp(rows.filter("event_type = 'view'"), rows.filter("event_type = 'purchase'"), edges, 20000.0, 20000.0, 0.1, -0.105, 0.0, 1.0)
 
 
+# --- sets, samples, sweeps, trees, training -------------------------------------------------------------------
+
+
+@query("set_1_intersect", "SELECT o_custkey AS i, o_orderkey AS j FROM orders WHERE o_custkey % 3 = 0 AND o_totalprice > 100000")
+def _(spark, sf_dir):
+    edges = order_edges(spark, sf_dir)
+    pairs = edges.filter("i % 3 = 0").select("i", "j")
+    return pairs.intersect(edges.filter("w > 100000").select("i", "j"))
+
+
+@query("set_3_distinct_ids", "SELECT DISTINCT user_id AS i FROM events WHERE event_type = 'error'")
+def _(spark, sf_dir):
+    return stream(spark, sf_dir).filter("event_type = 'error'").select("i").distinct()
+
+
+@query("sort_1_event_order", f"SELECT event_id, row_number() OVER (PARTITION BY tick // 86400 ORDER BY t, i, event_id) AS place FROM {EV} e")
+def _(spark, sf_dir):
+    from pyspark.sql import Window
+
+    day = Window.partitionBy(F.floor(F.col("tick") / 86400)).orderBy("t", "i", "event_id")
+    return stream(spark, sf_dir).select("event_id", F.row_number().over(day).cast("bigint").alias("place"))
+
+
+@query("lim_1_bounded_sample", "SELECT c_custkey AS i FROM (SELECT *, md5(CAST(c_custkey AS VARCHAR)) AS h FROM customer) ORDER BY h LIMIT 200")
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"))
+    return rows.orderBy(F.md5(F.col("i").cast("string"))).limit(200)
+
+
+@query("prj_9_run_regularly", "SELECT s_suppkey AS i, s_acctbal * power(0.5::DOUBLE, 5) AS v FROM supplier")
+def _(spark, sf_dir):
+    from ..operators.group import run_regularly
+
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("v"))
+    for tick in range(50):
+        rows = run_regularly(rows, tick, 10, {"v": F.col("v") * 0.5})
+    return rows
+
+
+@query("win_6_smooth_per_cell", f"""
+    WITH d AS (SELECT u.i, b.tick, coalesce(n, 0)::DOUBLE / 86400.0::DOUBLE AS rate FROM {USERS} u CROSS JOIN range(30) b(tick)
+        LEFT JOIN (SELECT i, tick // 86400 AS k, count(*) AS n FROM {EV} e GROUP BY ALL) c ON c.i = u.i AND c.k = b.tick)
+    SELECT i, tick, round(0.25 * coalesce(lag(rate) OVER w, 0) + 0.5 * rate + 0.25 * coalesce(lead(rate) OVER w, 0), 12) AS smooth
+    FROM d WINDOW w AS (PARTITION BY i ORDER BY tick)""")
+def _(spark, sf_dir):
+    binned = R.binned_rate(stream(spark, sf_dir), users(spark, sf_dir), 30, 86400, 1.0).withColumnRenamed("bin", "tick")
+    return R.smooth(binned, [1.0, 2.0, 1.0], by=("i",)).select("i", "tick", F.round("smooth", 12).alias("smooth"))
+
+
+@query("agg_20_class_codes", f"SELECT i, arg_max(event_type, n * 1000 - code) AS winner FROM (SELECT i, event_type, count(*) AS n, CAST(length(event_type) AS BIGINT) * 10 + ascii(event_type) AS code FROM {EV} e GROUP BY ALL) GROUP BY 1")
+def _(spark, sf_dir):
+    n = stream(spark, sf_dir).groupBy("i", "event_type").agg(F.count("*").alias("n"))
+    code = F.length("event_type") * 10 + F.ascii("event_type")
+    return n.groupBy("i").agg(F.max_by("event_type", F.col("n") * 1000 - code).alias("winner"))
+
+
+@query("agg_21_cross_entropy", f"""
+    WITH n AS (SELECT i, event_type, count(*) / 30.0::DOUBLE AS x FROM {EV} e GROUP BY ALL),
+    z AS (SELECT i, event_type, x, ln(sum(exp(x)) OVER (PARTITION BY i)) AS z FROM n)
+    SELECT round(avg(z - x), 9) AS loss, count(*) AS rows FROM z WHERE event_type = 'click'""")
+def _(spark, sf_dir):
+    from pyspark.sql import Window
+
+    n = stream(spark, sf_dir).groupBy("i", "event_type").agg((F.count("*") / F.lit(30.0)).alias("x"))
+    z = F.log(F.sum(F.exp("x")).over(Window.partitionBy("i")))
+    return n.withColumn("z", z).filter("event_type = 'click'").agg(
+        F.round(F.avg(F.col("z") - F.col("x")), 9).alias("loss"), F.count("*").alias("rows")
+    )
+
+
+@query("ctl_8_parameter_sweep", "SELECT CAST(r AS INTEGER) AS run_id, s_suppkey AS i, round(s_acctbal * power(1 - 0.001::DOUBLE / ((r + 1) * 0.01::DOUBLE), 20), 6) AS v FROM supplier, range(3) q(r)")
+def _(spark, sf_dir):
+    from .control import sweep
+
+    g = Group(1, "dv/dt = -v/tau : 1\ntau : second", method="euler")
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("v"), F.lit(0.0).alias("tau"))
+    rows = sweep(rows, [{"tau": 0.01}, {"tau": 0.02}, {"tau": 0.03}])
+    rows = rows.withColumns({"lastspike": F.lit(-1e4), "not_refractory": F.lit(True), "_i": F.col("i"), "i": F.col("i") * 3 + F.col("run_id")})
+    out = g.fold(rows, 20, 1e-3)
+    return out.select((F.col("i") % 3).cast("int").alias("run_id"), F.floor(F.col("i") / 3).alias("i"), F.round("v", 6).alias("v"))
+
+
+@query("int_10_adaptive", "SELECT s_suppkey AS i, round(s_acctbal * exp(-0.5::DOUBLE), 2) AS v FROM supplier")
+def _(spark, sf_dir):
+    from .integrators import adaptive
+
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("v"))
+
+    def solve(parts):
+        for rows in parts:
+            x = adaptive(lambda y, t, at: -y * t, rows[["v"]].to_numpy().T.copy(), 0.0, 1.0, 1e-9)
+            yield rows.assign(v=x[0])
+
+    return rows.mapInPandas(solve, "i long, v double").select("i", F.round("v", 2).alias("v"))
+
+
+def tree(spark, sf_dir):
+    """The parts as points of a binary tree."""
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        k.cast("int").alias("index"), (F.col("p_size") % 3).alias("type"), (k % 17).cast("double").alias("x"), (k % 5).cast("double").alias("y"),
+        F.lit(0.0).alias("z"), F.lit(1.0).alias("radius"), F.when(k == 1, -1).otherwise(F.floor(k / 2)).cast("int").alias("parent"),
+    ).filter("index >= 1")
+
+
+@query("spa_4_geometry", """
+    SELECT CAST(a.p_partkey AS INTEGER) AS i, round(sqrt(power(a.p_partkey % 17 - (a.p_partkey // 2) % 17, 2) + power(a.p_partkey % 5 - (a.p_partkey // 2) % 5, 2)), 9) AS length,
+           round(2 * pi() * sqrt(power(a.p_partkey % 17 - (a.p_partkey // 2) % 17, 2) + power(a.p_partkey % 5 - (a.p_partkey // 2) % 5, 2)), 6) AS area
+    FROM part a WHERE a.p_partkey > 1""")
+def _(spark, sf_dir):
+    from ..operators.morphology import compartments
+
+    return compartments(tree(spark, sf_dir)).select("i", F.round("length", 9).alias("length"), F.round("area", 6).alias("area"))
+
+
+@query("spa_5_path_distance", """
+    WITH RECURSIVE r AS (SELECT CAST(1 AS BIGINT) AS i, 0.0::DOUBLE AS distance UNION ALL
+        SELECT p_partkey, r.distance + sqrt(power(p_partkey % 17 - r.i % 17, 2) + power(p_partkey % 5 - r.i % 5, 2)) FROM r JOIN part ON p_partkey // 2 = r.i AND p_partkey > 1)
+    SELECT CAST(i AS INTEGER) AS i, round(distance, 6) AS distance FROM r WHERE i > 1""")
+def _(spark, sf_dir):
+    from ..operators.morphology import compartments, path_distance
+
+    return path_distance(compartments(tree(spark, sf_dir))).select("i", F.round("distance", 6).alias("distance"))
+
+
+@query("int_13_cable")
+def _(spark, sf_dir):
+    from ..operators.morphology import cable, compartments
+
+    parts = compartments(tree(spark, sf_dir)).withColumns(
+        {"neuron": F.col("type").cast("bigint"), "v": F.lit(0.0), "current": F.when(F.col("i") < 10, 1.0).otherwise(0.0), "i": F.col("i").cast("bigint"),
+         "length": F.greatest("length", F.lit(0.5))}
+    )
+    return cable(parts, 50, 0.1, 1.0, 1.0, 0.1)
+
+
+@query("trn_7_gradients")
+def _(spark, sf_dir):
+    from ..operators.training import Model, Plan, gradients
+
+    rows = stream(spark, sf_dir).select(
+        F.col("i").alias("sample"), (F.col("i") % 3).cast("int").alias("label"), (F.col("tick") % 10).cast("int").alias("tick"),
+        (F.col("event_id") % 8).cast("int").alias("input"), F.lit(1.0).alias("amplitude"),
+    )
+    return gradients(rows, Model(Plan((8, 6, 3), 10)))
+
+
+@query("cnv_6_quantised", "SELECT l_orderkey, l_linenumber, CAST(least(greatest(round_even(l_tax * 1000, 0), -20), 50) AS INTEGER) AS q FROM lineitem")
+def _(spark, sf_dir):
+    from ..operators.training import quantised
+
+    rows = table(spark, sf_dir, "lineitem").withColumn("w", F.col("l_tax"))
+    return quantised(rows, 1000.0, -20, 50).select("l_orderkey", "l_linenumber", "q")
+
+
+@query("str_5_network_run")
+def _(spark, sf_dir):
+    """A recurrent network in supersteps; its events."""
+    from ..operators.network import Network, Pathway
+
+    g = Group(100, "dv/dt = (drive - v)/(10*ms) : 1 (unless refractory)\ndrive : 1", method="euler", threshold="v > 1", reset="v = 0", refractory="2*ms")
+    g.set("drive", "1.2 + 0.01*i").set("v", "i*0.008")
+    edges = T.fixed_indegree_edges(spark, 5, 100, 100, 1).withColumns({"seq": F.col("j") * 1000 + F.col("i"), "w": F.lit(0.02)})
+    return Network(g, edges, [Pathway("v", "w", 5e-3)], shards=4).run(spark, 0.02, 1e-3).spikes()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
