@@ -190,19 +190,11 @@ def check_units(result: str | Callable | None = None, **arguments: str):
 def vector_function(name: str, fn: Callable, returns: str = "double", arity: int = 1, stateless: bool = True) -> lang.Function:
     """A NumPy function as one of the language: Arrow batches in columns, as it is in kernels (UDF-1, UDF-2)."""
     import pandas as pd
-    from pyspark.sql.pandas.functions import pandas_udf
 
-    def batch(*series: pd.Series) -> pd.Series:
+    def batch(*series):
         return pd.Series(fn(*[s.to_numpy() for s in series]))
 
-    batch.__annotations__ = {"return": pd.Series}
-    if arity == 1:
-        def batch(series: pd.Series) -> pd.Series:  # noqa: F811
-            return pd.Series(fn(series.to_numpy()))
-    elif arity == 2:
-        def batch(a: pd.Series, b: pd.Series) -> pd.Series:  # noqa: F811
-            return pd.Series(fn(a.to_numpy(), b.to_numpy()))
-    udf = pandas_udf(batch, returns)
+    udf = F.pandas_udf(batch, returns, F.PandasUDFType.SCALAR)
     return lang.register(lang.Function(name, udf if stateless else udf.asNondeterministic(), fn, lang._plain, arity, stateless))
 
 
