@@ -92,10 +92,10 @@ def log_ratios(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS)
 
 
 def as_array(ratios: DataFrame, buckets: int) -> Column:
-    """The ratios as a constant array; its size is that of the bucket table, whatever the corpus."""
+    """The ratios, to four digits, as a constant array; its size is that of the bucket table, whatever the corpus."""
     found = ["0"] * buckets
     for bucket, ratio in ratios.collect():
-        found[bucket] = repr(ratio)
+        found[bucket] = f"{ratio:.4g}"
     return F.split(F.lit(",".join(found)), ",").cast("array<double>")
 
 
@@ -106,14 +106,15 @@ def judge(
     threshold: float = THRESHOLD,
     min_words: int = MIN_WORDS,
     max_repeated: int = MAX_REPEATED,
-    extra: tuple[str, ...] = (),
+    whole_rows: bool = False,
 ) -> DataFrame:
-    """Per document: its counts, ``score``, ``base_failed`` and ``kept``, and the ``extra`` columns as they are."""
+    """Per document: its counts, ``score``, ``base_failed`` and ``kept``, with ``whole_rows`` its row too, as ``_row``."""
     ratios = as_array(log_ratios(docs, trusted_ids, buckets), buckets)
     safe = F.coalesce("text", F.lit(""))
+    extra = [F.struct(*docs.columns).alias("_row")] if whole_rows else []
     measured = docs.select("doc_id", *extra, safe.alias("_text")).select(
         "doc_id",
-        *extra,
+        *(["_row"] if whole_rows else []),
         F.length(F.translate("_text", SPACE, "")).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         duplicate_lines(F.col("_text")).alias("n_dup_lines"),
@@ -153,6 +154,5 @@ def op8_quality_rules(spark, sf_dir):
 
 def stage(spark, docs, sf_dir):
     """Drop what the rules reject; all else of the documents stays as it is."""
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    out = judge(docs, trusted(table(spark, sf_dir, "labels")), extra=rest)
-    return out.filter("kept").select(docs.columns)
+    out = judge(docs, trusted(table(spark, sf_dir, "labels")), whole_rows=True)
+    return out.filter("kept").select("_row.*")
