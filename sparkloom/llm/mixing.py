@@ -131,12 +131,12 @@ def cuts(docs: DataFrame, epochs: int = EPOCHS) -> DataFrame:
 def stage(spark, docs, sf_dir):
     """Each document as often as the mix takes it; the one at a source's cut gives its first words once more.
     Only the narrow table of sizes is sorted; the texts meet the cuts, one row a source, where they are read."""
-    plan = cuts(docs).select(F.col("source").alias("_source"), "whole", "cut")
+    plan = cuts(docs).select(F.col("source").alias("_source"), F.col("whole").alias("_whole"), F.col("cut").alias("_cut"))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    last = F.when(F.col("cut").isNull() | (key < F.col("cut.key")), -1).when(key == F.col("cut.key"), F.col("cut.words"))
+    last = F.when(F.col("_cut").isNull() | (key < F.col("_cut.key")), -1).when(key == F.col("_cut.key"), F.col("_cut.words"))
     rows = docs.join(F.broadcast(plan), docs["source"].eqNullSafe(F.col("_source")))
     # -1: the whole text
-    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("whole").cast("int")), F.array(last.cast("long")))
+    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("_whole").cast("int")), F.array(last.cast("long")))
     rows = rows.withColumn("_words", F.explode(F.filter(copies, lambda x: x.isNotNull() & (x != 0))))
     parts = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     rows = rows.filter(F.regexp_like("text", F.lit(WORD)))
