@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import WORD_BYTES, partitions, table, written
 from .eliasfano import Trie, restored
 
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
 ADD = 0.1
 HOT = 1024
 #: Contexts are classed by the bit length of their count.
