@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rng
+from ..sources.tables import chosen
 
 
 def _pre(nodes: DataFrame) -> DataFrame:
@@ -66,13 +67,7 @@ def connect_random(pre: DataFrame, n_post: int, p: float, seed: int) -> DataFram
 
 def connect_sample(pre: DataFrame, n_post: int, size: int, seed: int) -> DataFrame:
     """For each i, ``size`` different targets (JOIN-4)."""
-    ranked = F.array_sort(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(n_post - 1)),
-            lambda j: F.struct(F.xxhash64(F.lit(seed), F.col("i"), j).alias("h"), j.cast("bigint").alias("j")),
-        )
-    )
-    return pre.select("i", F.explode(F.slice(ranked, 1, size)).alias("c")).select("i", F.col("c.j").alias("j"))
+    return pre.select("i", F.explode(chosen(n_post, size, seed, F.col("i"))).alias("j"))
 
 
 def number_duplicates(edges: DataFrame, by: list[str], order: list[str], name: str = "k") -> DataFrame:

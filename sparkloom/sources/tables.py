@@ -82,15 +82,28 @@ def fixed_total_edges(spark: SparkSession, count: int, n_pre: int, n_post: int,
     return spark.range(count).select(F.col("id").alias("syn"), pick("i", n_pre), pick("j", n_post))
 
 
-def fixed_indegree_edges(spark: SparkSession, k: int, n_pre: int, n_post: int, seed: int) -> DataFrame:
-    """Exactly k different sources for each target (SRC-11). Each source gets a hash for the target, and the
-    smallest k are taken: an array a target, made, sorted and cut where it stands, without a shuffle."""
+def chosen(n: int, k: int, seed: int, *keys: Column) -> Column:
+    """``k`` different numbers below n, in the order in which repeated draws first show them. A few more than k draws
+    do unless k is close to n; then, and in the rare other case, all n are ranked by hash."""
+    k = min(k, n)
+    draws = F.array_distinct(
+        F.transform(
+            F.sequence(F.lit(0), F.lit(4 * k + 32)),
+            lambda r: F.floor(rng.uniform(seed, "choose", *keys, r) * n).cast("bigint"),
+        )
+    )
     ranked = F.transform(
-        F.sequence(F.lit(0), F.lit(n_pre - 1)),
-        lambda i: F.struct(F.xxhash64(F.lit(seed), F.col("id"), i).alias("h"), i.cast("bigint").alias("i")),
+        F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")),
+        lambda x: F.struct(F.xxhash64(F.lit(seed), *keys, x).alias("h"), x.alias("x")),
     )
-    chosen = F.slice(F.array_sort(ranked), 1, k)
-    return spark.range(n_post).select(F.explode(chosen).alias("c"), F.col("id").alias("j")).select("c.i", "j")
+    every = F.transform(F.slice(F.array_sort(ranked), 1, k), lambda s: s["x"])
+    return F.when(F.size(draws) >= k, F.slice(draws, 1, k)).otherwise(every)
+
+
+def fixed_indegree_edges(spark: SparkSession, k: int, n_pre: int, n_post: int, seed: int) -> DataFrame:
+    """Exactly k different sources for each target (SRC-11), made where the target's row stands, without a shuffle."""
+    rows = spark.range(n_post)
+    return rows.select(F.explode(chosen(n_pre, k, seed, F.col("id"))).alias("i"), F.col("id").alias("j"))
 
 
 def swc(spark: SparkSession, path: str) -> DataFrame:
