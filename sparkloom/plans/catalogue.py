@@ -593,6 +593,40 @@ def _(spark, sf_dir):
     return stdp(rows.filter("event_type = 'view'"), rows.filter("event_type = 'purchase'"), edges, 20000.0, 20000.0, 0.1, -0.105, 0.0, 1.0)
 
 
+# --- monitors -------------------------------------------------------------------------------------------------
+
+
+@query("snk_1_event_monitor", f"SELECT tick, i, max(value) AS value FROM {EV} e WHERE value > 70 AND i >= 10 AND i < 120 GROUP BY ALL")
+def _(spark, sf_dir):
+    from ..operators.monitors import event_monitor
+
+    rows = stream(spark, sf_dir)
+    values = rows.groupBy("tick", "i").agg(F.max("value").alias("value"))
+    fired = D.threshold(values.select("tick", "i", "value"), F.col("value") > 70)
+    return event_monitor(fired, values, ("value",), 10, 120)
+
+
+@query("snk_6_states", "SELECT s_suppkey AS i, s_acctbal AS v, s_acctbal * 2 AS twice FROM supplier")
+def _(spark, sf_dir):
+    from ..operators.monitors import states
+
+    g = Group(1, "v : 1\ntwice = 2*v : 1")
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("v"))
+    return states(rows, ("v", "twice"), {"twice": g.column("twice")})
+
+
+@query("snk_13_rebuilt", """
+    SELECT s_suppkey AS i, CAST(k * 10 AS BIGINT) AS tick, round(power(0.95::DOUBLE, k * 10) * s_acctbal * 3 + 1, 5) AS current FROM supplier, range(5) r(k)""")
+def _(spark, sf_dir):
+    from ..operators.monitors import rebuilt, state_monitor
+
+    g = Group(1, "dv/dt = -v/(20*ms) : 1", method="euler")
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("v"))
+    rows = rows.withColumns({"lastspike": F.lit(-1e4), "not_refractory": F.lit(True)})
+    kept = state_monitor(traces(g.fold(rows, 50, 1e-3, record=("v",))), ("v",), 10)
+    return rebuilt(kept, {"current": F.round(F.col("v") * 3 + 1, 5)}).select("i", "tick", "current")
+
+
 # --- sets, samples, sweeps, trees, training -------------------------------------------------------------------
 
 

@@ -272,3 +272,21 @@ def test_user_functions(spark):
     assert voltage(2 * UNITS["amp"]).value == 2
     with pytest.raises(ValueError):
         voltage(2 * UNITS["volt"])
+
+
+def test_monitors(spark, tmp_path):
+    from sparkloom.operators import monitors
+
+    trace = spark.createDataFrame([(t, i, float(10 * t + i)) for t in range(6) for i in range(3)], "tick long, i long, v double")
+    events = spark.createDataFrame([(1, 0), (2, 1), (5, 2)], "tick long, i long")
+    assert sorted(map(tuple, monitors.event_monitor(events, trace, ("v",), 1, 3).collect())) == [(2, 1, 21.0), (5, 2, 52.0)]
+    kept = monitors.state_monitor(trace, ("v",), 2, F.col("i") == 1)
+    assert sorted(r["v"] for r in kept.collect()) == [1.0, 21.0, 41.0]
+    more = monitors.with_state_now(kept, spark.createDataFrame([(1, 99.0)], "i long, v double"), 6)
+    assert more.count() == 4 and more.filter("tick = 6").first()["v"] == 99.0
+    path = str(tmp_path / "m")
+    for k in range(3):
+        monitors.append(trace.filter(f"tick >= {2 * k} AND tick < {2 * k + 2}"), path, k)
+    monitors.append(trace.filter("tick < 2"), path, 0)
+    assert monitors.read(spark, path).count() == 18 and monitors.read(spark, path, (1, 2)).count() == 6
+    assert monitors.states(kept, ("v",), kind="dict")["v"] == [r["v"] for r in kept.collect()]
