@@ -103,7 +103,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     for radius in range(max(cut.widths) + 1):
         probes = pending.withColumn("entry", F.explode(cut.probes(F.col("q"), radius))).select("q", "worst", "entry.*")
         found = (
-            probes.join(index, ["seg", "key"])
+            # probes come by the thousand from each query, which Spark's estimate of their size can't see
+            probes.hint("merge").join(index, ["seg", "key"])
             .filter(cut.first_found(F.col("q"), F.col("code"), F.col("seg"), radius))
             .withColumn("distance", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int"))
             .filter(F.col("distance") <= F.col("worst"))
