@@ -43,7 +43,7 @@ class Segments:
     """How codes are cut: ``count`` segments, the first ones a bit longer where they can't be equal."""
 
     def __init__(self, rows: int):
-        self.count = min(8, max(2, round(BITS / max(1.0, math.log2(max(2, rows))))))
+        self.count = min(8, max(2, math.ceil(BITS / max(1.0, math.log2(max(2, rows))))))
         self.widths = [BITS // self.count + (k < BITS % self.count) for k in range(self.count)]
         self.starts = [sum(self.widths[:k]) for k in range(self.count)]
 
