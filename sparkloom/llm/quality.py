@@ -1,12 +1,13 @@
 """Quality rules: hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
 Each text's words and word pairs fall into ``buckets`` by hash. Two multinomials over the buckets are counted, one
-over all documents and one over the trusted ones; a text's score is the mean log ratio of its n-grams, and the
-text is kept where the score is at least ``threshold``. Some plain rules on the text come first.
+over all different texts and one over those of trusted documents; a text's score is the mean log ratio of its
+n-grams, and the text is kept where the score is at least ``threshold``. Some plain rules on the text come first.
 
 Defined results: a null text counts as empty; a text without words scores 0 and fails the word-count rule; a null
-id is scored but never trusted; repeated rows are counted and judged as often as they occur; without trusted
-documents every ratio is 0; columns other than id and text are ignored.
+id is scored and never trusted itself; a text is counted once, however often it occurs, and as trusted if any of its
+rows is, but every row is judged; texts are told apart by 64-bit hashes; without trusted documents every ratio is 0;
+columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -68,26 +69,47 @@ def duplicate_lines(text: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def log_ratios(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Each bucket's log ratio of trusted to raw probability, shrunk towards 0 by ``PRIOR``.
-    Counted over all documents; only bucket totals are shuffled, and there are at most ``buckets`` rows."""
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def known_texts(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
+    """Each text that is trusted or occurs more than once: its ``hash``, its rows and how many of them are trusted."""
     marked = join_ids(
-        docs.select("doc_id", "text"), trusted_ids.select("doc_id", F.lit(1).alias("trusted")), "doc_id", "left"
+        docs.select("doc_id", text_hash().alias("hash")),
+        trusted_ids.select("doc_id", F.lit(1).alias("trusted")),
+        "doc_id",
+        "left",
     )
-    found = marked.select(
-        "trusted",
+    texts = marked.groupBy("hash").agg(F.count("*").alias("copies"), F.count("trusted").alias("labelled"))
+    return written(texts.filter("copies > 1 OR labelled > 0"), "known-texts")
+
+
+def log_ratios(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Each bucket's log ratio of trusted to raw probability, shrunk towards 0 by ``PRIOR``, which is held against the
+    n-grams of all trusted rows. Counted over all different texts; only bucket totals and hashes of texts are
+    shuffled, and there are at most ``buckets`` rows."""
+    rows = docs.select("text", text_hash().alias("hash"))
+    found = join_ids(rows, known_texts(docs, trusted_ids), "hash", "left").select(
+        F.coalesce("copies", F.lit(1)).alias("copies"),
+        F.coalesce("labelled", F.lit(0)).alias("labelled"),
         F.explode(
             let(word_hashes(F.coalesce("text", F.lit(""))), lambda h: ngram_buckets(h, buckets))
         ).alias("bucket"),
     )
-    counts = found.groupBy("bucket").agg(
-        F.count("*").alias("raw"), F.sum(F.coalesce("trusted", F.lit(0))).alias("target")
+    # all copies of a text fall into one group, so that dividing by their number is exact
+    counts = found.groupBy("bucket", "copies", "labelled").agg((F.count("*") / F.col("copies")).alias("once"))
+    counts = counts.groupBy("bucket").agg(
+        F.sum("once").alias("raw"),
+        F.sum(F.when(F.col("labelled") > 0, F.col("once")).otherwise(0.0)).alias("target"),
+        F.sum(F.col("once") * F.col("labelled")).alias("seen"),
     )
     counts = written(counts, "ngram-buckets")
-    total = counts.agg(F.sum("raw").alias("raws"), F.sum("target").alias("targets"))
+    total = counts.agg(*[F.sum(c).alias(c) for c in ("raw", "target", "seen")])
+    totals = {f"{c}s": total.select(c).scalar() for c in ("raw", "target", "seen")}
     share = F.col("raw") / F.col("raws")
-    ratio = F.log((F.col("target") + share * buckets * PRIOR) / (F.col("targets") + buckets * PRIOR) / share)
-    totals = {"raws": total.select("raws").scalar(), "targets": total.select("targets").scalar()}
+    good = F.col("target") / F.col("targets") * F.col("seens")
+    ratio = F.log((good + share * buckets * PRIOR) / (F.col("seens") + buckets * PRIOR) / share)
     return counts.withColumns(totals).filter("targets > 0").select("bucket", ratio.alias("ratio"))
 
 

@@ -104,6 +104,28 @@ def test_quality_ratio_is_the_multinomials(spark):
     assert min(v for k, v in got.items() if k % 2) > max(v for k, v in got.items() if not k % 2)
 
 
+def test_quality_copies_count_once(spark):
+    rng = np.random.default_rng(3)
+    text = lambda low, high: " ".join(f"w{k}" for k in rng.integers(low, high, 300))
+    plain = [(k, text(0, 400) if k < 300 else text(2000, 2400)) for k in range(400)]
+    own = " ".join(f"h{k}" for k in rng.permutation(300))
+    hot = [(1000 + k if k % 3 else None, own) for k in range(400)]
+    ids = spark.createDataFrame([(k,) for k in range(0, 300, 2)], "doc_id long")
+
+    def judged(rows):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = quality.judge(df, ids, whole_rows=True).select("doc_id", "_row.text", "kept", "score")
+        return {(r["doc_id"], r["text"]): (r["kept"], r["score"]) for r in got.collect()}
+
+    alone, beside = judged([*plain, hot[1]]), judged([*plain, *hot])
+    assert beside.keys() >= alone.keys()
+    assert all(beside[k] == pytest.approx(v) for k, v in alone.items())
+    assert all(beside[k, own][0] for k, _ in hot) and not any(beside[k][0] for k in plain[300:])
+    # a small table errs on the side of keeping
+    few = judged([*plain[:20], *hot])
+    assert all(v[0] for v in few.values())
+
+
 def fingerprint(text):
     w = WORD.findall(lower(text or ""))
     parts = [" ".join(w[k : k + 4]) for k in range(max(1, len(w) - 3))] if w else []
