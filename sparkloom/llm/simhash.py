@@ -10,8 +10,9 @@ Links between different fingerprints are joined to components by large-star and
 the shared folder; each route passes on a spanning forest of its links, never all pairs.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and is linked like any
-other; rows with the same fingerprint are one component; ``component_id`` is the smallest non-null id that can be
-reached, null if there is none; repeated rows each give a row; other columns are ignored.
+other; rows with the same fingerprint are one component, rows that merely share an id are not; rows without an id
+link like all others; ``component_id`` is the smallest non-null id of the component, null if there is none; repeated
+rows each give a row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -57,17 +58,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, also: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the columns ``also`` and ``fp``, the fingerprint as a signed long."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             found = [fingerprint(x.as_py(), shingle) for x in part.column(1)]
             fps = pa.array(np.array(found, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0), fps], ["doc_id", "fp"])
+            rest = [part.column(k) for k in range(2, part.num_columns)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *rest, fps], ["doc_id", *also, "fp"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, fp long")
+    kind = dict(docs.dtypes)
+    schema = ", ".join(f"{c} {kind[c]}" for c in ("doc_id", *also))
+    return docs.select("doc_id", "text", *also).mapInArrow(batches, f"{schema}, fp long")
 
 
 def ball_size(bits: int, reach: int) -> int:
@@ -187,17 +190,25 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def grouped(
+    docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, also: tuple[str, ...] = ()
+) -> DataFrame:
+    """``doc_id``, the columns ``also``, ``fp``, ``component_id`` and ``root``, the component's key, for every row."""
+    fps = written(fingerprints(docs, shingle, also), "fingerprints")
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    # every fingerprint is a node of its own, so that rows without an id link too
+    roots = components(links(nodes.select("fp", F.col("fp").alias("rep")), radius))
+    found = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root")
+    )
+    found = written(found, "roots")
+    ids = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    return fps.join(found.select("fp", "root").join(ids, "root"), "fp")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id`` for every row."""
-    fps = written(fingerprints(docs, shingle), "fingerprints")
-    all_nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    nodes = all_nodes.filter("rep IS NOT NULL").select("fp", F.col("rep").cast("long").alias("rep"))
-    # an id may have several texts: it is then one node with several fingerprints
-    roots = components(links(nodes, radius))
-    found = all_nodes.join(roots, all_nodes["rep"] == roots["node"], "left").select(
-        "fp", F.coalesce("root", "rep").alias("component_id")
-    )
-    return fps.join(found, "fp").select("doc_id", "fp", "component_id")
+    return grouped(docs, radius, shingle).select("doc_id", "fp", "component_id")
 
 
 def op10_simhash_near_dedup(spark, sf_dir):

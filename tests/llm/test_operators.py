@@ -164,6 +164,16 @@ def test_simhash(spark, docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_simhash_links_rows_without_id(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs)
+    far = 0x0F0F_F0F0_1234_5678
+    rows = [(7, 0), (None, 0b111), (3, 0b111111), (None, far), (None, far ^ 1), (9, -1), (9, far << 1), (None, -2)]
+    df = spark.createDataFrame(rows, "doc_id long, fp long")
+    got = [(r["doc_id"], r["fp"], r["component_id"]) for r in simhash.near_duplicates(df).collect()]
+    want = [3, 3, 3, None, None, 9, 9, 9]
+    assert multiset(got) == multiset((i, fp, c) for (i, fp), c in zip(rows, want, strict=True))
+
+
 @pytest.mark.parametrize("values", [1 << 22, 2000])
 def test_ball_hashing_against_all_pairs(spark, values):
     rng = np.random.default_rng(5)
