@@ -57,6 +57,12 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def row_hash(df: DataFrame) -> Column:
+    """128 bits over all columns, as a struct of two longs: a total order of rows up to rows that are all equal."""
+    parts = [x for c in df.columns for x in (df[c].isNull(), df[c])]
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
+
+
 def join_ids(df: DataFrame, ids: DataFrame, key: str, how: str, bound: int = 1_000_000) -> DataFrame:
     """Join a narrow table of distinct keys to a wide one. It is broadcast only where a count shows at most
     ``bound`` rows; beyond that both sides are dealt out by key, where Spark splits skewed partitions."""

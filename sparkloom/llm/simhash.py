@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, table, written
+from .common import WORD_BYTES, row_hash, table, written
 
 SHINGLE = 4
 RADIUS = 4
@@ -217,6 +217,10 @@ def op10_simhash_near_dedup(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """Of each component keep the document with the smallest id, once."""
-    ids = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(ids, "doc_id").select(docs.columns).dropDuplicates(["doc_id"])
+    """Of each component keep one row: that with the smallest id, rows without an id last, then by a hash of the row.
+    A component without any id keeps one row too, and unrelated texts that share an id are all kept."""
+    keyed = docs.withColumn("_row", row_hash(docs))
+    rows = grouped(keyed, also=("_row",))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    kept = rows.groupBy("root").agg(F.min(order).alias("first")).select("first._row")
+    return keyed.join(kept, "_row").dropDuplicates(["_row"]).select(docs.columns)

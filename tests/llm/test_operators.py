@@ -200,6 +200,14 @@ def test_simhash_stage_keeps_one(spark, docs, rows):
     assert len(kept) == len(set(kept)) and 1 in kept and not {2, 5, 6} & set(kept) and 7 in kept
 
 
+def test_simhash_stage_keeps_rows_without_id(spark):
+    texts = [" ".join(f"w{k}x{j}" for j in range(60)) for k in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (None, texts[2]), (8, texts[4]), (6, texts[4])]
+    df = spark.createDataFrame([(*r, "en", "s", None) for r in rows], SCHEMA).repartition(3)
+    got = multiset((r["doc_id"], r["text"]) for r in simhash.stage(spark, df, "").collect())
+    assert got == multiset([(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (6, texts[4])])
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
