@@ -10,8 +10,9 @@ Ranges hold about ``RANGE_ROWS`` documents, so a hot source is many ranges; the
 in a table of one row a range. Sources are one row each on the driver, at most ``MOST_SOURCES``.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; empty sources have
-target 0; a null id is ordered like the empty string; rows with the same id are ordered by size, and equal rows
-may share their taken words in any order among them; extra columns are kept by ``stage``.
+target 0; a null id is ordered like the empty string; rows with the same id are ordered by size, then by a hash of
+all their columns, and only rows that are equal in all of them are numbered in any order; extra columns are kept by
+``stage``.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table, written
+from .common import WORD, let, row_hash, table, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -40,20 +41,22 @@ def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``source``, ``size`` and ``key``, a number in [0, 1) from a hash of the id."""
+    """``doc_id``, ``source``, ``size``, ``key``, a hash of the id, and ``tie``, a hash of the row."""
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     return docs.select(
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         digest.alias("key"),
+        row_hash(docs).alias("tie"),
     )
 
 
 def mix(
     docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS
 ) -> DataFrame:
-    """Per document: ``doc_id``, ``source``, ``size``, ``source_size``, ``target`` and ``taken`` words."""
+    """Per document: ``doc_id``, ``source``, ``size``, ``source_size``, ``target`` and ``taken`` words; also ``key`` and
+    ``tie``, how many rows are its ``equals``, itself among them, and how many of these come ``ahead``."""
     spark = docs.sparkSession
     rows = written(sized(docs), "sized")
     by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
@@ -76,14 +79,22 @@ def mix(
     sums = sums.select(
         F.col("source").alias("_source"), F.col("range").alias("_range"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset")
     )
-    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_within", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    ordered = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "tie")
+    within = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select(
+        "*",
+        F.coalesce(F.sum("size").over(within), F.lit(0)).alias("_within"),
+        F.count("*").over(ordered.rangeBetween(Window.currentRow, Window.currentRow)).alias("equals"),
+        (F.row_number().over(ordered) - F.rank().over(ordered)).cast("long").alias("ahead"),
+    )
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("_source")) & (F.col("range") == F.col("_range")))
     budget = F.floor("target")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - whole * F.col("source_size") - F.col("offset") - F.col("_within")
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least("size", rest))
-    return rows.select("doc_id", "source", "key", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select(
+        "doc_id", "source", "key", "size", "tie", "equals", "ahead", "source_size", "target", taken.cast("long").alias("taken")
+    )
 
 
 def op4_mixing(spark, sf_dir):
@@ -120,24 +131,42 @@ FROM c
 
 
 def cuts(docs: DataFrame, epochs: int = EPOCHS) -> DataFrame:
-    """Per source: how many ``whole`` repetitions it gives, the key of the document where it is cut, and how many
-    ``words`` of that one come in. Documents with smaller keys come once more."""
+    """Per source: how many ``whole`` repetitions it gives, the place in the order of the document where it is cut,
+    how many rows are its ``equals`` and how many of these come ``ahead`` of it, and how many ``words`` of it come in.
+    Documents with smaller places come once more."""
     whole = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0)
     more = F.col("taken") - F.col("whole") * F.col("size")
-    first = F.min(F.when(more < F.col("size"), F.struct("key", more.alias("words"))))
+    place = F.struct("key", F.struct("doc_id", "size", "tie").alias("rest"), "ahead", "equals", more.alias("words"))
+    first = F.min(F.when(more < F.col("size"), place))
     return mix(docs, epochs=epochs).withColumn("whole", whole).groupBy("source", "whole").agg(first.alias("cut"))
 
 
 def stage(spark, docs, sf_dir):
     """Each document as often as the mix takes it; the one at a source's cut gives its first words once more.
-    Only the narrow table of sizes is sorted; the texts meet the cuts, one row a source, where they are read."""
+    Only the narrow table of sizes is sorted; the texts meet the cuts, one row a source, where they are read. Where
+    several equal rows lie at a cut, one of them stands for all that come in once more."""
     plan = cuts(docs).select(F.col("source").alias("_source"), F.col("whole").alias("_whole"), F.col("cut").alias("_cut"))
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    last = F.when(F.col("_cut").isNull() | (key < F.col("_cut.key")), -1).when(key == F.col("_cut.key"), F.col("_cut.words"))
-    rows = docs.join(F.broadcast(plan), docs["source"].eqNullSafe(F.col("_source")))
+    plan = written(plan, "cuts")
+    key = F.md5(F.coalesce(docs["doc_id"].cast("string"), F.lit("")))
+    size = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long")
+    rest = F.struct(docs["doc_id"].alias("doc_id"), size.alias("size"), row_hash(docs).alias("tie"))
+    side = (  # before, at or behind the cut; the whole place is computed for rows of the cut's key alone
+        F.when(F.col("_cut").isNull() | (key < F.col("_cut.key")), -1)
+        .when(key > F.col("_cut.key"), 1)
+        .otherwise(let(rest, lambda x: F.when(x < F.col("_cut.rest"), -1).when(x > F.col("_cut.rest"), 1).otherwise(0)))
+    )
+    rows = docs.join(F.broadcast(plan), docs["source"].eqNullSafe(F.col("_source"))).withColumn("_side", side)
+    alone = F.when(F.col("_cut.equals") == 1, F.col("_cut.words"))
+    last = F.when(F.col("_side") < 0, -1).when(F.col("_side") == 0, alone)
     # -1: the whole text
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("_whole").cast("int")), F.array(last.cast("long")))
-    rows = rows.withColumn("_words", F.explode(F.filter(copies, lambda x: x.isNotNull() & (x != 0))))
+    if not plan.filter("_cut.equals > 1").isEmpty():
+        again = rows.filter("_side = 0 AND _cut.equals > 1").dropDuplicates(["_source"])
+        again = again.withColumn("_copies", F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("_cut.ahead").cast("int")), F.array("_cut.words")))
+        rows = rows.withColumn("_copies", copies).unionByName(again)
+    else:
+        rows = rows.withColumn("_copies", copies)
+    rows = rows.withColumn("_words", F.explode(F.filter("_copies", lambda x: x.isNotNull() & (x != 0))))
     parts = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     rows = rows.filter(F.regexp_like("text", F.lit(WORD)))
     head = F.array_join(F.slice(parts, 1, F.greatest(F.col("_words"), F.lit(1)).cast("int")), "")

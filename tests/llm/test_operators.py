@@ -290,6 +290,26 @@ def test_mixing_stage_takes_the_words_of_the_plan(spark):
     assert dict(out) == plan
 
 
+def test_mixing_stage_cuts_between_rows_of_one_id(spark):
+    def judged(rows):
+        df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+        plan, out = defaultdict(int), defaultdict(int)
+        for r in mixing.mix(df).collect():
+            plan[r["source"], r["doc_id"], r["size"]] += r["taken"]
+        for r in mixing.stage(spark, df, "").collect():
+            out[r["source"], r["doc_id"], int(r["text"].split()[0][1:])] += len(WORD.findall(r["text"]))
+        assert dict(out) == {k: v for k, v in plan.items() if v}
+        return out
+
+    text = lambda n, word="": f"w{n}{word} " * n
+    # at half an epoch more, the cut falls within rows of one id: of other sizes, of one size, and equal ones
+    for own in (7, None):
+        judged([(own, text(n), "en", s, None) for s in ("a", "b") for n in (100, 70, 41, 30, 7)])
+        judged([(own, f"w100 x{k} " * 50, "en", s, None) for s in ("a", "b", None) for k in range(5)])
+        got = judged([(own, text(100), "en", "a", None)] * 3)
+        assert got["a", own, 100] == 450
+
+
 def test_lm(spark, docs, rows, empty):
     def tokens(text):
         return [*WORD.findall(lower(text or "")), "\n"]
