@@ -5,7 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,22 +28,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fresh local one where the session names none, as in tests."""
+    """The folder that driver and executors share. Only a session within one JVM, as in tests, may leave it unset; it
+    then gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+_written: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows from a table in the shared folder, so that a lost executor costs a reread, not the work before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
+    if _written:
+        _written[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of the shared folder that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are written within the block are deleted after it; results must be on disk by then."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        removed(spark, _written.pop())
+
+
+def slices(part: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch as pieces of about ``most`` bytes of text each, one row at least, so that what is made of a piece is
+    small whatever the batch; an empty batch is one piece."""
+    size = np.asarray(pc.fill_null(pc.binary_length(part.column(column)), 0), np.int64)
+    at = 0
+    while at < len(size) or not len(size):
+        n = max(1, int(np.searchsorted(np.cumsum(size[at : at + 4096]), most, "right")))
+        yield part.slice(at, n)
+        if not len(size):
+            return
+        at += n
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,17 +1,19 @@
 """SentencePiece encoding and decoding over an Aho-Corasick automaton of the pieces.
 
 One pass over a text's characters follows the automaton's output links, which name every piece that ends at a
-position, and keeps per position the best last piece of the text up to there. What is best depends on the model:
+position, and relaxes the best score there: the highest sum of piece scores of the text up to it, with the last piece
+of that way (Viterbi). That is the encoding of a unigram model, and the columns ``viterbi_*``.
 
-* a unigram model: the piece with the highest sum of scores (Viterbi);
-* a BPE model: summed scores would not give BPE's segmentation. Its encoding of a text cut anywhere between two of
-  its pieces is the encodings of both sides, so the one last piece is right that forms a stable pair with the last
-  piece before it, that is, whose pair BPE encodes as those two. Pairs are tested once and remembered.
+A BPE model's own encoding is another one. Its encoding of a text cut anywhere between two of its pieces is the
+encodings of both sides, so the same pass keeps, at each position, the one last piece that forms a stable pair with
+the last piece before it, that is, whose pair BPE encodes as those two. Pairs are tested once and
+remembered. For a BPE model ``ids`` are these, as the library gives them; for a unigram model both are the same.
 
-Units of a text that no piece crosses (a run of spaces and what follows it) are segmented on their own and
-remembered, in a bounded table; very long units take the same single pass. Characters without a piece become bytes.
+Units of a text whose ends no piece crosses (a word with the spaces before it, the marks after it) are segmented on
+their own and remembered, in tables bounded by bytes; very long units take the same single pass. Characters that no
+piece has are units too and become bytes. Batches are cut by the bytes of their texts, so a task's memory doesn't grow with them.
 
-Defined results: a null or empty text gives no pieces; decoding gives the text back, but for U+2581, which stands
+Defined results: a null or empty text gives no pieces and score 0; decoding gives the text back, but for U+2581, which stands
 for a space in the pieces and comes back as one; repeated rows each give a row; extra columns are ignored.
 """
 
@@ -19,8 +21,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 from typing import NamedTuple
 
 import ahocorasick
@@ -28,12 +30,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import slices, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Units and pairs that a worker remembers before it starts anew.
-REMEMBERED = 300_000
+#: Bytes, by estimate, that a worker's table of units may take; those of pairs take as much together.
+REMEMBERED = 48 << 20
 LONGEST_REMEMBERED = 40
 #: A character without a piece scores so much less than the worst piece of a unigram model.
 UNKNOWN_PENALTY = 10.0
@@ -67,25 +69,40 @@ def read_model(path: str = MODEL) -> Model:
 
 
 class Bounded(dict):
-    """Remembers what ``make`` gives for a key, up to a number of keys."""
+    """Remembers what ``make`` gives for a key, within a number of bytes: ``each`` a key and what it is made of. Keys
+    that were not asked for since the last half was filled are forgotten."""
 
-    def __init__(self, make, most: int = REMEMBERED):
+    def __init__(self, make, each: int, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.each, self.most, self.size, self.older = make, each, most // 2, 0, {}
 
     def __missing__(self, key):
-        value = self.make(key)
-        if len(self) >= self.most:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self.size += self.each + (len(value) * 60 if isinstance(value, tuple) else 0)
+        if self.size > self.most:
+            self.older, self.size = dict(self), self.each
             self.clear()
         self[key] = value
         return value
 
 
+class Unit(NamedTuple):
+    """A unit's ids as little-endian 32-bit integers, the UTF-8 text that they decode to, and the ids and score of
+    the best-scored way."""
+
+    ids: bytes
+    text: bytes
+    best: bytes
+    score: float
+
+
 class Codec:
     """Encodes and decodes with one model.
 
     Inside, a *part* is a piece's id, or a number from the vocabulary's size on: that of a character which stands
-    in pieces without being one, or ``self.start`` (nothing yet) or ``self.strange`` (any other character)."""
+    in pieces without being one, or ``self.start`` (nothing yet)."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -94,8 +111,8 @@ class Codec:
         self.score = {p: model.scores[k] for p, k in ids.items()}
         self.worst = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
         bare = sorted(set("".join(ids)) - set(ids))
-        self.texts = [*model.pieces, *bare, "", ""]
-        self.start, self.strange = size + len(bare), size + len(bare) + 1
+        self.texts = [*model.pieces, *bare, ""]
+        self.start = size + len(bare)
         parts = ids | {c: size + k for k, c in enumerate(bare)}
         self.gain = [self.score.get(x, self.worst) for x in self.texts]
         self.automaton = ahocorasick.Automaton()
@@ -105,12 +122,31 @@ class Codec:
         self.bytes = {int(model.pieces[k][3:5], 16): k for k, kind in enumerate(model.kinds) if kind == BYTE}
         self.unknown = next((k for k, kind in enumerate(model.kinds) if kind == UNKNOWN), 0)
         self.surface = [self._surface(p, kind) for p, kind in zip(model.pieces, model.kinds, strict=True)]
-        crossing = any(SPACE in p.lstrip(SPACE) for p in ids)
-        self.units = re.compile("(?s).+" if crossing else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self.remembered = Bounded(self.segment)
-        self.stable = Bounded(self._stable)
-        self.halves = Bounded(self._halves)
-        self.edges = Bounded(self._edge)
+        self.known = set("".join(ids))
+        self.units = self._units(ids)
+        self.remembered = Bounded(self.unit, 400, REMEMBERED)
+        self.stable = Bounded(self._stable, 120, REMEMBERED // 2)
+        self.halves = Bounded(self._halves, 250, REMEMBERED // 6)
+        self.edges = Bounded(self._edge, 250, REMEMBERED // 3)
+
+    def _units(self, pieces: Iterable[str]) -> re.Pattern:
+        """Cuts a text where no piece has the characters on both sides next to one another: around characters of no
+        piece, before spaces, and after letters, where no piece goes on from a letter to that character."""
+
+        def one_of(chars: Iterable[str]) -> str:
+            return "".join(map(re.escape, sorted(chars)))
+
+        known = one_of(self.known)
+        if not known:
+            return re.compile("(?s).+")
+        if any(SPACE in p.lstrip(SPACE) for p in pieces):
+            return re.compile(f"[{known}]+|[^{known}]+")
+        after = {b for p in pieces for a, b in zip(p, p[1:], strict=False) if a.isalpha()}
+        letters = one_of(c for c in self.known if c.isalpha())
+        marks = one_of(c for c in self.known if not c.isalpha() and c not in after and c != SPACE)
+        word = f"{SPACE}*[{letters}]+(?=[{marks}])|" if letters and marks else ""
+        rest = one_of(self.known - {SPACE}) or "^\\s\\S"
+        return re.compile(f"[^{known}{SPACE}]+|{word}{SPACE}+[{rest}]*|[{rest}]+|{SPACE}+")
 
     @staticmethod
     def _surface(piece: str, kind: int) -> bytes:
@@ -172,65 +208,75 @@ class Codec:
                     return False
         return True
 
-    def last_stable(self, text: str) -> tuple[list[int], list[int]]:
-        """For each position, the last part of the text's BPE encoding up to there, and its length."""
-        size, stable = len(self.texts), self.stable
-        part, length = [0] * (len(text) + 1), [1] * (len(text) + 1)
-        part[0], done = self.start, 0
-        for last, (n, own) in self.automaton.iter(text):
-            if done < last:
-                for k in range(done + 1, last + 1):
-                    part[k] = part[k] or self.strange
-                done = last
-            if not part[last + 1] and stable[part[last + 1 - n] * size + own]:
-                part[last + 1], length[last + 1] = own, n
-        return [x or self.strange for x in part], length
-
-    def last_best(self, text: str) -> tuple[list[int], list[int]]:
-        """For each position, the last part of the best-scored way to get there, and its length."""
-        part, length, total = [self.strange] * (len(text) + 1), [1] * (len(text) + 1), [0.0] * (len(text) + 1)
-        done = 0
-
-        def settle(until: int) -> None:
-            nonlocal done
-            while done < until:
-                done += 1
-                if part[done] == self.strange:
-                    total[done] = total[done - 1] + self.worst
-
-        for last, (n, own) in self.automaton.iter(text):
-            settle(last)
-            reached = total[last + 1 - n] + self.gain[own]
-            if part[last + 1] == self.strange or reached > total[last + 1]:
-                part[last + 1], length[last + 1], total[last + 1] = own, n, reached
-        return part, length
-
-    def segment(self, unit: str) -> tuple[int, ...]:
-        part, length = self.last_stable(unit) if self.model.bpe else self.last_best(unit)
+    def ways(self, text: str) -> tuple[list[int], list[int], list[int], list[int], float]:
+        """For each position the last part and where it begins, of the text's BPE encoding up to there (left alone
+        for a unigram model) and of the best-scored way to get there; then the score of the whole. Every character
+        is in some piece, so every position is reached."""
+        n = len(text) + 1
+        size, stable, bpe, gain = len(self.texts), self.stable, self.model.bpe, self.gain
+        part, since, best, start, total = [0] * n, [0] * n, [0] * n, [0] * n, [-np.inf] * n
+        part[0], total[0] = self.start, 0.0
+        for last, (width, own) in self.automaton.iter(text):
+            end = last + 1
+            begin = end - width
+            reached = total[begin] + gain[own]
+            if reached > total[end]:
+                total[end], best[end], start[end] = reached, own, begin
+            if bpe and not part[end] and stable[part[begin] * size + own]:
+                part[end], since[end] = own, begin
+        return part, since, best, start, total[-1]
+
+    def path(self, unit: str, part: list[int], begin: list[int]) -> list[int]:
+        """The ids along the last parts, from the end back; a character that is no piece is its bytes."""
         size, end, found = len(self.model.pieces), len(unit), []
         while end:
-            if part[end] < size:
-                found.append(part[end])
-            elif self.bytes:
-                found.extend(self.bytes[b] for b in unit[end - 1].encode("utf-8", "replace")[::-1])
+            own = part[end]
+            if own < size:
+                found.append(own)
             else:
-                found.append(self.unknown)
-            end -= length[end]
-        return tuple(found[::-1])
-
-    def encode(self, text: str | None) -> list[int]:
+                found.extend(self.spelt(unit[end - 1])[::-1])
+            end = begin[end]
+        found.reverse()
+        return found
+
+    def spelt(self, char: str) -> list[int]:
+        return [self.bytes[b] for b in char.encode("utf-8", "replace")] if self.bytes else [self.unknown]
+
+    def unit(self, unit: str) -> Unit:
+        if unit[0] not in self.known:
+            ids = [k for c in unit for k in self.spelt(c)]
+            return Unit(packed(ids), self.surfaces(ids), packed(ids), self.worst * len(unit))
+        part, since, best, start, score = self.ways(unit)
+        scored = self.path(unit, best, start)
+        ids = self.path(unit, part, since) if self.model.bpe else scored
+        known = packed(ids)
+        return Unit(known, self.surfaces(ids), known if ids == scored else packed(scored), score)
+
+    def split(self, text: str | None) -> list[Unit]:
         if not text:
             return []
         text = (SPACE if self.model.dummy_prefix else "") + text.replace(" ", SPACE)
         known, cut = self.remembered, LONGEST_REMEMBERED
-        return list(
-            chain.from_iterable(known[u] if len(u) <= cut else self.segment(u) for u in self.units.findall(text))
-        )
+        return [known[u] if len(u) <= cut else self.unit(u) for u in self.units.findall(text)]
 
-    def decode(self, ids: Iterable[int]) -> str:
-        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(b"".join(u.ids for u in self.split(text)), "<i4").tolist()
+
+    def surfaces(self, ids: Iterable[int]) -> bytes:
+        return b"".join(map(self.surface.__getitem__, ids))
+
+    def shown(self, surfaces: bytes) -> str:
+        text = surfaces.decode("utf-8", "replace")
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
+    def decode(self, ids: Iterable[int]) -> str:
+        return self.shown(self.surfaces(ids))
+
+
+def packed(ids: list[int]) -> bytes:
+    """As little-endian 32-bit integers, as all machines that run this have them."""
+    return array("i", ids).tobytes()
+
 
 _codecs: dict[int, Codec] = {}
 
@@ -244,33 +290,50 @@ def codec(model: Model) -> Codec:
     return _codecs[key]
 
 
-SCHEMA = "ids array<int>, n_pieces long, ids_sha256 string, round_trip boolean"
+#: Columns after ``doc_id``.
+COLUMNS = {
+    "ids": ("array<int>", pa.list_(pa.int32())), "n_pieces": ("long", pa.int64()), "ids_sha256": ("string", pa.string()),
+    "round_trip": ("boolean", pa.bool_()), "viterbi_pieces": ("long", pa.int64()), "viterbi_score": ("double", pa.float64()),
+    "viterbi_sha256": ("string", pa.string()),
+}
 
 
 def encode(docs: DataFrame, model: Model, with_ids: bool = True) -> DataFrame:
-    """Per row: ``doc_id``, the ``ids`` of its pieces (null if ``with_ids`` is off), their number and SHA-256 as
-    little-endian 32-bit integers, and whether they decode to the text."""
+    """Per row: ``doc_id``, the ``ids`` of its pieces (unless ``with_ids`` is off), their number and SHA-256 as
+    little-endian 32-bit integers, whether they decode to the text, and number, summed score and SHA-256 of the
+    best-scored segmentation."""
+    names = [c for c in COLUMNS if with_ids or c != "ids"]
+
+    def rows(own: Codec, part: pa.RecordBatch) -> pa.RecordBatch:
+        found = {c: [] for c in names}
+        flat, ends = [], [0]
+        for x in part.column(1):
+            text = x.as_py() or ""
+            units = own.split(text)
+            ids, best = b"".join(u.ids for u in units), b"".join(u.best for u in units)
+            if with_ids:
+                flat.append(ids)
+                ends.append(ends[-1] + len(ids) // 4)
+            found["n_pieces"].append(len(ids) // 4)
+            found["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
+            found["round_trip"].append(own.shown(b"".join(u.text for u in units)) == text)
+            found["viterbi_pieces"].append(len(best) // 4)
+            found["viterbi_score"].append(float(sum(u.score for u in units)))
+            found["viterbi_sha256"].append(hashlib.sha256(best).hexdigest())
+        columns = {c: pa.array(v, COLUMNS[c][1]) for c, v in found.items() if c != "ids"}
+        if with_ids:
+            values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(flat))])
+            columns["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+        return pa.RecordBatch.from_arrays([part.column(0), *(columns[c] for c in names)], ["doc_id", *names])
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         for part in parts:
-            rows = []
-            for x in part.column(1):
-                text = x.as_py() or ""
-                ids = own.encode(text)
-                packed = np.array(ids, "<i4")
-                digest = hashlib.sha256(packed.tobytes()).hexdigest()
-                rows.append((packed if with_ids else None, len(ids), digest, own.decode(ids) == text))
-            kinds = (pa.list_(pa.int32()), pa.int64(), pa.string(), pa.bool_())
-            columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [
-                pa.array([], k) for k in kinds
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), *columns], ["doc_id", "ids", "n_pieces", "ids_sha256", "round_trip"]
-            )
-
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, {SCHEMA}")
+            for piece in slices(part, 1):
+                yield rows(own, piece)
+
+    spec = ", ".join(f"{c} {COLUMNS[c][0]}" for c in names)
+    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {dict(docs.dtypes)['doc_id']}, {spec}")
 
 
 def decode(encoded: DataFrame, model: Model) -> DataFrame:
@@ -287,9 +350,9 @@ def decode(encoded: DataFrame, model: Model) -> DataFrame:
 
 
 def op9_sentencepiece(spark, sf_dir, model: str = MODEL):
-    return encode(table(spark, sf_dir, "documents"), read_model(model), with_ids=False).drop("ids")
+    return encode(table(spark, sf_dir, "documents"), read_model(model), with_ids=False)
 
 
 def stage(spark, docs, sf_dir, model: str = MODEL):
-    """The documents' ids, pieces and digests; the last stage."""
+    """The documents' ids, their numbers, digests and scores, a row for each row, whatever its id; the last stage."""
     return encode(docs, read_model(model))

@@ -6,7 +6,8 @@ n-grams, and the text is kept where the score is at least ``threshold``. Some pl
 
 Defined results: a null text counts as empty; a text without words scores 0 and fails the word-count rule; a null
 id is scored and never trusted itself; a text is counted once, however often it occurs, and as trusted if any of its
-rows is, but every row is judged; texts are told apart by 64-bit hashes; without trusted documents every ratio is 0;
+rows is, but every row is judged; texts are told apart by 64-bit hashes, three-word windows of a text by the upper
+bits of theirs, as many as its number of windows leaves of 64; without trusted documents every ratio is 0;
 columns other than id and text are ignored.
 """
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_ids, let, table, words, written
+from .common import WORD, join_ids, let, table, words, written
 
 BUCKETS = 1 << 16
 #: Mean log ratio from which a text is kept; texts like the trusted ones lie around 0.
@@ -26,12 +27,15 @@ PRIOR = 8
 MIN_WORDS = 50
 #: Highest share of words in repeated three-word windows, in percent.
 MAX_REPEATED = 50
-SPACE = " \t\n\v\f\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOL = r"[#*$%&|<>]"
+
+
+def hashed(found: Column) -> Column:
+    return F.transform(found, lambda w: F.xxhash64(w))
 
 
 def word_hashes(text: Column) -> Column:
-    return F.transform(words(text), lambda w: F.xxhash64(w))
+    return hashed(words(text))
 
 
 def ngram_buckets(hashes: Column, buckets: int) -> Column:
@@ -43,29 +47,50 @@ def ngram_buckets(hashes: Column, buckets: int) -> Column:
     return F.concat(F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int")), pairs)
 
 
+def mean_ratio(hashes: Column, ratios: Column, buckets: int) -> Column:
+    """The mean of the ratios over the buckets that ``ngram_buckets`` gives, without writing them out."""
+    at = lambda h: F.get(ratios, F.pmod(h, F.lit(buckets)).cast("int"))
+    both = F.transform(
+        hashes, lambda h, i: at(h) + F.when(i > 0, at(F.xxhash64(F.get(hashes, i - 1), h))).otherwise(0.0)
+    )
+    return F.aggregate(both, F.lit(0.0), lambda s, x: s + x) / F.greatest(2 * F.size(hashes) - 1, F.lit(1))
+
+
 def repeated_words(hashes: Column) -> Column:
-    """How many words stand in three-word windows found at least twice."""
+    """How many words stand in three-word windows found at least twice. Windows are sorted as plain longs: the upper
+    bits are the hash, the lower ones the place."""
 
-    def covered(ranked: Column) -> Column:
-        same = lambda x, k: F.coalesce(F.get(ranked, k)["h"] == x["h"], F.lit(False))
+    def covered(ranked: Column, bits: Column) -> Column:
+        upper = lambda x: F.call_function("shiftright", x, bits)
+        same = lambda x, k: F.coalesce(upper(F.get(ranked, k)) == upper(x), F.lit(False))
         twice = F.filter(ranked, lambda x, k: same(x, k - 1) | same(x, k + 1))
-        spread = F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))
-        return F.size(F.array_distinct(F.flatten(spread)))
+        places = F.sort_array(F.transform(twice, lambda x: x - F.call_function("shiftleft", upper(x), bits)))
+        start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+        return F.aggregate(
+            places,
+            start,
+            lambda s, p: F.struct((p + 3).alias("end"), (s["n"] + p + 3 - F.greatest(p, s["end"])).alias("n")),
+            lambda s: s["n"],
+        )
 
     def counted(windows: Column) -> Column:
-        ranked = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), 0).otherwise(let(ranked, covered))
+        bits = F.length(F.bin(F.size(windows).cast("long")))
+        upper = lambda h: F.call_function("shiftleft", F.call_function("shiftright", h, bits), bits)
+        ranked = F.sort_array(F.transform(windows, lambda h, i: upper(h) + i))
+        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(
+            let(ranked, lambda x: covered(x, bits))
+        )
 
     windows = F.transform(
         F.slice(hashes, 3, F.greatest(F.size(hashes) - 2, F.lit(0))),
         lambda h, i: F.xxhash64(hashes[i], hashes[i + 1], h),
     )
-    return F.when(F.size(hashes) < 3, 0).otherwise(let(windows, counted)).cast("long")
+    return F.when(F.size(hashes) < 3, F.lit(0).cast("long")).otherwise(let(windows, counted))
 
 
 def duplicate_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line."""
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(WORD)))
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
@@ -137,28 +162,32 @@ def judge(
     measured = docs.select("doc_id", *extra, safe.alias("_text")).select(
         "doc_id",
         *(["_row"] if whole_rows else []),
-        F.length(F.translate("_text", SPACE, "")).cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.regexp_count("_text", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         duplicate_lines(F.col("_text")).alias("n_dup_lines"),
         let(
-            word_hashes(F.col("_text")),
-            lambda h: F.struct(
-                F.size(h).cast("long").alias("n_words"),
-                repeated_words(h).alias("n_repeat_words"),
+            words(F.col("_text")),
+            lambda w: F.struct(
+                F.size(w).cast("long").alias("n_words"),
+                F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
                 let(
-                    ngram_buckets(h, buckets),
-                    lambda b: F.aggregate(b, F.lit(0.0), lambda s, k: s + F.get(ratios, k))
-                    / F.greatest(F.size(b), F.lit(1)),
-                ).alias("score"),
+                    hashed(w),
+                    lambda h: F.struct(
+                        repeated_words(h).alias("repeated"), mean_ratio(h, ratios, buckets).alias("score")
+                    ),
+                ).alias("of"),
             ),
         ).alias("_m"),
     )
+    measured = measured.select(
+        *[c for c in measured.columns if c not in ("_m", "_text")],
+        "_m.n_words",
+        "_m.word_chars",
+        F.col("_m.of.repeated").alias("n_repeat_words"),
+        F.col("_m.of.score").alias("score"),
+    )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeated * F.col("n_words"))
-    return (
-        measured.select("*", "_m.*")
-        .drop("_m")
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    return measured.withColumn("base_failed", failed).withColumn(
+        "kept", ~F.col("base_failed") & (F.col("score") >= threshold)
     )
 
 
