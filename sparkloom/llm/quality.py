@@ -73,12 +73,14 @@ def repeated_words(hashes: Column) -> Column:
             lambda s: s["n"],
         )
 
+    def ranked(windows: Column, bits: Column) -> Column:
+        upper = lambda h: F.call_function("shiftleft", F.call_function("shiftright", h, bits), bits)
+        return F.sort_array(F.transform(windows, lambda h, i: upper(h) + i))
+
     def counted(windows: Column) -> Column:
         bits = F.length(F.bin(F.size(windows).cast("long")))
-        upper = lambda h: F.call_function("shiftleft", F.call_function("shiftright", h, bits), bits)
-        ranked = F.sort_array(F.transform(windows, lambda h, i: upper(h) + i))
         return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(
-            let(ranked, lambda x: covered(x, bits))
+            let(bits, lambda n: let(ranked(windows, n), lambda x: covered(x, n)))
         )
 
     windows = F.transform(
