@@ -2,25 +2,25 @@
 
 Documents are tokenized once, into *blocks* of about ``BLOCK_TOKENS`` tokens with a dictionary of their own. Words
 are dealt out by hash; each shard sums up the blocks' counts and answers every block with its words' counts and
-ids. Then neighbouring pairs, as ids, are dealt out by context; each shard sums up the training counts, builds a
-memory-mapped trie of them and answers every block with the quantised probability of each pair it asked for. A
-block asks once for each distinct word and pair, so that frequent ones cost no more than rare ones, and contexts
-with over ``1 / HOT`` of all tokens are dealt out by successor too. Nothing that grows with the corpus is gathered on
-the driver or sent to all executors.
+ids. Then neighbouring pairs, as ids, are dealt out by context, each with the quantised unigram probability of its
+second word; each shard sums up the training counts, builds a memory-mapped trie of the smoothed probabilities and
+answers every block with that of each pair it asked for. A block asks once for each distinct word and pair, so that
+frequent ones cost no more than rare ones, and contexts with over ``1 / HOT`` of all tokens are dealt out by successor
+too. Nothing that grows with the corpus is gathered on the driver or sent to all executors.
 
 A token's probability is ``(1 - l) c(u w) / c(u) + l P(w)``, with the smoothed unigram ``P(w) = (c + a) / (N + a (V + 1))``
-and ``l``, for contexts of about the same count, the share of their pairs seen once (Good-Turing's mass of unseen
-pairs). Before its first word a text has the context "end".
+and the back-off weight ``l = (1 + c(u)) ** -POWER``, which falls as the share of new words after a context does (Heaps'
+law): for a pair in the trie it is the pair's entry, for another one the context's weight times ``P(w)``. Before its
+first word a text has the context "end".
 
-Defined results: a null text counts as empty and has its end as only token; a null id is never held out; repeated
-rows are counted and scored as often as they occur; with nothing to learn from all scores are 0; extra columns are
-ignored.
+Defined results: a null text counts as empty and has its end as only token; ids may be of any type; a null id is never
+held out; repeated rows are counted and scored as often as they occur; with nothing to learn from all scores are 0;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import tempfile
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,17 +30,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, partitions, table, written
-from .eliasfano import Trie, restored
+from .common import WORD_BYTES, partitions, slices, table, written
+from .eliasfano import Trie, quantised, restored
 
 BLOCK_TOKENS = 2_000_000
 ADD = 0.1
 HOT = 1024
-#: Contexts are classed by the bit length of their count.
-CLASSES = 64
+#: The power by which a context's back-off weight falls with its count.
+POWER = 0.25
 END = b"\n"  # no word has it
 
-BLOCK = "block long, ids array<long>, held array<boolean>, lengths binary, tokens binary, words binary, counts binary"
+BLOCK = "block long, ids array<{}>, held array<boolean>, lengths binary, tokens binary, words binary, counts binary"
 #: A message of one block to one shard, or an answer; its arrays are compressed.
 MESSAGE = "shard int, block long, a binary, b binary, c binary, d binary"
 
@@ -61,20 +61,15 @@ def unpacked(data: bytes) -> np.ndarray:
     return found if kind.char == "L" else found.astype(np.int64)
 
 
-def is_held(doc_id: int | None) -> bool:
-    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10 == 0
-
-
 def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Tokenized documents, many to a row. Token 0 is the end; the others are numbered as they come."""
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, number = TaskContext.get().partitionId(), 0
-        ids, tokens, lengths, known, total = [], [], [], {END: 0}, 0
+        ids, held, tokens, lengths, known, total = [], [], [], [], {END: 0}, 0
 
         def row() -> pa.RecordBatch:
             nonlocal number
-            held = [is_held(x) for x in ids]
             flat = np.concatenate(tokens).astype(np.int64)
             size = np.array(lengths, np.int64)
             train = flat[np.repeat(~np.array(held, bool), size)]
@@ -82,26 +77,30 @@ def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
             columns = [[place << 32 | number], [ids], [held], [packed(size)], [packed(flat)], [packed(hashes)]]
             columns.append([packed(np.bincount(train, minlength=len(known)))])
             number += 1
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 4]
+            kinds = [pa.int64(), pa.list_(kind), pa.list_(pa.bool_()), *[pa.binary()] * 4]
             names = ["block", "ids", "held", "lengths", "tokens", "words", "counts"]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-        for part in parts:
-            for doc_id, text in zip(part.column(0), part.column(1), strict=True):
+        for part in (piece for batch in parts for piece in slices(batch, 2)):
+            kind = part.column(0).type
+            for doc_id, is_held, text in zip(part.column(0), part.column(1), part.column(2), strict=True):
                 found = WORD_BYTES.findall((text.as_py() or "").encode("utf-8", "replace").lower())
                 own = [known.setdefault(w, len(known)) for w in found]
                 own.append(0)
                 ids.append(doc_id.as_py())
+                held.append(is_held.as_py())
                 tokens.append(np.array(own, np.int32))
                 lengths.append(len(own))
                 total += len(own)
                 if total >= block_tokens:
                     yield row()
-                    ids, tokens, lengths, known, total = [], [], [], {END: 0}, 0
+                    ids, held, tokens, lengths, known, total = [], [], [], [], {END: 0}, 0
         if ids:
             yield row()
 
-    return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, BLOCK), "blocks")
+    out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
+    rows = docs.select("doc_id", out.alias("held"), "text")
+    return written(rows.mapInArrow(cut, BLOCK.format(dict(docs.dtypes)["doc_id"])), "blocks")
 
 
 def by_shard(shard: np.ndarray, *order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,7 +165,7 @@ class Block:
 
     def __init__(self, row: pa.Table, answers: pa.Table, shards: int):
         get = lambda name: row.column(name)[0].as_py()
-        self.number, self.ids, self.held = get("block"), get("ids"), get("held")
+        self.number, self.ids, self.held = get("block"), row.column("ids").combine_chunks().flatten(), get("held")
         self.lengths, self.tokens = unpacked(get("lengths")), unpacked(get("tokens"))
         words = unpacked(get("words")).view(np.uint64)
         places, found, first = word_order(words, shards)
@@ -178,14 +177,14 @@ class Block:
         self.before = np.concatenate([[0], self.tokens[:-1]])  # a text begins after an end
 
     def pairs(self, shards: int, hot: float):
-        """Distinct pairs of known words in order of their shards, which pair each token is (or -1), the training
-        count of each, and the shards with their bounds."""
+        """Distinct pairs of known words in order of their shards, with the training count of each and the counts of
+        both words; which pair each token is (or -1), and the shards with their bounds."""
         u, w = self.before, self.tokens
         asked = np.flatnonzero((self.count[u] > 0) & (self.count[w] > 0))
         keys, inverse = np.unique(u[asked] << 32 | w[asked], return_inverse=True)
         trains = np.repeat(~np.array(self.held, bool), self.lengths)[asked]
         n = np.bincount(inverse, trains, len(keys)).astype(np.int64)
-        of_u = self.count[keys >> 32]
+        of_u, of_w = self.count[keys >> 32], self.count[keys & 0xFFFFFFFF]
         context, successor = self.id[keys >> 32], self.id[keys & 0xFFFFFFFF]
         mixed = context * 0x9E3779B1 + np.where(of_u > hot, successor * 0x85EBCA77, 0)
         places, found, first = by_shard((mixed >> 7) % shards, context, successor)
@@ -193,70 +192,75 @@ class Block:
         rank[places] = np.arange(len(keys))
         which = np.full(len(w), -1, np.int64)
         which[asked] = rank[inverse]
-        return context[places], successor[places], n[places], of_u[places], which, found, first
+        return context[places], successor[places], n[places], of_u[places], of_w[places], which, found, first
+
+
+def unigram(count: np.ndarray, n: int, v: int) -> np.ndarray:
+    return (count + ADD) / (n + ADD * (v + 1))
+
+
+def backoff(count: np.ndarray) -> np.ndarray:
+    return (1.0 + count) ** -POWER
 
 
-def ask_pairs(parts: DataFrame, words: DataFrame, shards: int, hot: float) -> DataFrame:
+def ask_pairs(parts: DataFrame, words: DataFrame, shards: int, hot: float, n: int, v: int) -> DataFrame:
     """Each block's distinct pairs to their shards: contexts with their counts and numbers of successors, packed
-    together (``a``), successors (``b``), and training counts (``c``)."""
+    together (``a``), successors (``b``), training counts (``c``) and codes of the successors' unigram (``d``)."""
 
     def ask(row: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block(row, answers, shards)
-        context, successor, n, of_u, _, found, first = block.pairs(shards, hot)
+        context, successor, seen, of_u, of_w, _, found, first = block.pairs(shards, hot)
+        lower = quantised(unigram(of_w, n, v))
         rows = []
         for s, x, y in zip(found, first[:-1], first[1:], strict=True):
             start = np.flatnonzero(np.diff(context[x:y], prepend=-1))
             many = np.diff(np.append(start, y - x))
             own = np.concatenate([np.diff(context[x:y][start], prepend=0), many, of_u[x:y][start]])
-            rows.append((int(s), block.number, packed(own), packed(successor[x:y]), packed(n[x:y]), None))
+            rows.append((int(s), block.number, *map(packed, (own, successor[x:y], seen[x:y], lower[x:y]))))
         return messages(rows)
 
     return parts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(ask, MESSAGE)
 
 
 def answer_pairs(asked: DataFrame) -> DataFrame:
-    """Per message the code of each pair (``a``) from the shard's trie. In the first row of a shard ``b`` and ``c``
-    hold, by class of contexts, the training count of all its pairs and of those seen once."""
+    """Per message the code of each pair (``a``) from the shard's trie."""
 
     def answer(group: pa.Table) -> pa.Table:
-        contexts, counts, successors, seen = [], [], [], []
-        for a, b, c in zip(*(group.column(x) for x in "abc"), strict=True):
+        asked, counts = [], []
+        for a, b, c, d in zip(*(group.column(x) for x in "abcd"), strict=True):
             step, many, of_u = np.split(unpacked(a.as_py()), 3)
-            contexts.append(np.repeat(np.cumsum(step), many))
+            asked.append((np.repeat(np.cumsum(step), many), *(unpacked(x.as_py()) for x in (b, c, d))))
             counts.append(np.repeat(of_u, many))
-            successors.append(unpacked(b.as_py()))
-            seen.append(unpacked(c.as_py()))
-        u, w, n = map(np.concatenate, (contexts, successors, seen))
+        u, w, n, lower = map(np.concatenate, zip(*asked, strict=True))
         trained = np.flatnonzero(n)
         trained = trained[np.lexsort((w[trained], u[trained]))]
-        u, w = u[trained], w[trained]
+        u, w, of_u, p = u[trained], w[trained], np.concatenate(counts)[trained], restored(lower[trained])
         # of each pair's run of rows, the first
         first = np.flatnonzero((np.diff(u, prepend=-1) != 0) | (np.diff(w, prepend=-1) != 0))
         total = np.add.reduceat(n[trained], first) if len(first) else n[:0]
-        u, w, of_u = u[first], w[first], np.concatenate(counts)[trained][first]
-        kind = np.frexp(of_u.astype(float))[1]
-        sums = [np.bincount(kind, x, CLASSES).astype(np.int64) for x in (total, total == 1)]
+        u, w, of_u, p = u[first], w[first], of_u[first], p[first]
         rows = []
         with tempfile.TemporaryFile() as file:
-            Trie.write(file, u, w, total / of_u)
+            rest = backoff(of_u)
+            heads = np.flatnonzero(np.diff(u, prepend=-1))
+            Trie.write(file, u, w, (1 - rest) * total / of_u + rest * p, rest[heads])
             trie = Trie.mapped(file)
             for k, (shard, block) in enumerate(zip(group.column("shard"), group.column("block"), strict=True)):
-                more = map(packed, sums) if k == 0 else (None, None)
-                codes = trie.lookup(contexts[k], successors[k])
-                rows.append((shard.as_py(), block.as_py(), packed(codes), *more, None))
+                context, successor, _, own = asked[k]
+                codes = trie.lookup(context, successor, own)
+                rows.append((shard.as_py(), block.as_py(), packed(codes), None, None, None))
         return messages(rows)
 
     return asked.groupBy("shard").applyInArrow(answer, MESSAGE)
 
 
 SCORED = (
-    "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    "doc_id {}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 )
 
 
-def scored(parts: DataFrame, answers: DataFrame, shards: int, hot: float, n: int, v: int, unseen: list[float]) -> DataFrame:
+def scored(parts: DataFrame, answers: DataFrame, shards: int, hot: float, n: int, v: int) -> DataFrame:
     """Every document's scores, from its block and all that its block was answered."""
-    mass = np.array(unseen)
 
     def score(row: pa.Table, got: pa.Table) -> pa.Table:
         of_words = got.filter(pa.compute.equal(got.column("kind"), 0))
@@ -265,25 +269,26 @@ def scored(parts: DataFrame, answers: DataFrame, shards: int, hot: float, n: int
         of_pairs = got.filter(pa.compute.equal(got.column("kind"), 1)).sort_by("shard")
         codes = [unpacked(x.as_py()) for x in of_pairs.column("a")]
         codes = np.concatenate([*codes, [0]])  # -1, no pair, takes the last
-        unigram = (block.count + ADD) / (n + ADD * (v + 1))
+        alone = unigram(block.count, n, v)
         of_u = block.count[block.before]
-        rest = np.where(of_u > 0, mass[np.frexp(of_u.astype(float))[1]], 1.0)
-        p = (1 - rest) * restored(codes[which]) + rest * unigram[block.tokens]
+        # words or contexts that were never seen
+        without = backoff(of_u) * alone[block.tokens]
+        p = np.where(which >= 0, restored(codes[which]), without)
         starts = np.cumsum(block.lengths) - block.lengths
         sums = lambda x: np.add.reduceat(x, starts)
         return pa.table(
             {
-                "doc_id": pa.array(block.ids, pa.int64()),
+                "doc_id": block.ids,
                 "held_out": block.held,
                 "n_tokens": block.lengths,
                 "n_known": sums((block.count[block.tokens] > 0).astype(np.int64)),
                 "train_tokens": np.full(len(starts), n),
-                "base_score": sums(np.log10(unigram)[block.tokens]),
+                "base_score": sums(np.log10(alone)[block.tokens]),
                 "score": sums(np.log10(p)),
             }
         )
 
-    return parts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORED)
+    return parts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORED.format(dict(parts.dtypes)["ids"][6:-1]))
 
 
 def sums_of(answers: DataFrame, column: str, size: int) -> list[int]:
@@ -308,12 +313,9 @@ def score(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, shards: int | None
     words = written(answer_words(ask_words(parts, shards), shards), "word-answers")
     n, v = sums_of(words, "c", 2)
     hot = n / HOT
-    pairs = written(answer_pairs(ask_pairs(parts, words, shards, hot)), "pair-answers")
-    every, once = sums_of(pairs, "b", CLASSES), sums_of(pairs, "c", CLASSES)
-    # a tenth of a pair of doubt at either end keeps the mass within 0 and 1
-    unseen = [(o + 0.1) / (e + 0.2) for e, o in zip(every, once, strict=True)]
+    pairs = written(answer_pairs(ask_pairs(parts, words, shards, hot, n, v)), "pair-answers")
     answers = words.withColumn("kind", F.lit(0)).unionByName(pairs.withColumn("kind", F.lit(1)))
-    return scored(parts, answers.select("block", "shard", "kind", "a", "b"), shards, hot, n, v, unseen)
+    return scored(parts, answers.select("block", "shard", "kind", "a", "b"), shards, hot, n, v)
 
 
 def op2_lm_scoring(spark, sf_dir):
