@@ -5,8 +5,8 @@ into character n-grams that are hashed to ``buckets``; a URL's features are its
 of their number, so that long URLs don't outweigh short ones. Training is one SQL expression that folds over the
 labelled rows again and again (stochastic gradient descent in a fixed order); scoring is an expression too.
 
-Defined results: a null URL, or one without ``://``, has an empty host and path, no rule and the score of no
-features; a null id is kept; repeated rows each give a row; of the labelled table at most ``MOST_LABELLED`` rows
+Defined results: a null URL, or one without ``://``, has an empty host and path, no rule, and the classifier's
+score of an empty host and path; a null id is kept; repeated rows each give a row; of the labelled table at most ``MOST_LABELLED`` rows
 are taken, more are an error; rows of it with a null URL or label are not learnt from; without any the verdict is
 allow; extra columns are ignored.
 """
@@ -54,7 +54,7 @@ LABELLED = tuple(
     for label, names in ((1, BAD_NAMES), (0, GOOD_NAMES))
     for k, name in enumerate(names)
     for j, prefix in enumerate(PREFIXES)
-)
+) + tuple((0, f"{name}{end}") for name in ("", "notes", "readme", "index") for end in ("", ".txt"))  # no host, no harm
 
 
 def host_and_path(url: Column) -> Column:
@@ -130,7 +130,6 @@ def judge(pages: DataFrame, weights: Sequence[float], rules: Sequence[tuple[str,
     x = logit(grams(F.col("host"), F.col("path"), buckets), fixed, F.lit(weights[-1]))
     scored = parts.withColumn("found", rule_for(F.col("host"), F.col("path"), rules)).withColumn("score", 1 / (1 + F.exp(-x)))
     own = F.when(F.col("score") > 0.5, "block").otherwise("allow")
-    own = F.when((F.col("host") == "") & (F.col("path") == ""), "allow").otherwise(own)
     return scored.select(
         "page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", own).alias("verdict"), "score"
     )
