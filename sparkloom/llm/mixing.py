@@ -6,8 +6,8 @@ hash of their id (ranges of the hash first, then sorted within each range), thei
 order, and the source is cut where the sum meets its budget, the whole words of its target: whole repetitions of
 all its documents first, then one more copy of those before the cut; the document at the cut gives its first words.
 
-Ranges hold about ``RANGE_ROWS`` documents, so a hot source is many ranges; the sums of the ranges are summed up
-in a table of one row a range. Sources are one row each on the driver, at most ``MOST_SOURCES``.
+A source of n documents is cut into about the square root of n ranges, so that neither a range nor the list of a
+source's ranges, which are each sorted in one task, grows faster than that. Sources are one row each on the driver, at most ``MOST_SOURCES``.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; empty sources have
 target 0; a null id is ordered like the empty string; rows with the same id are ordered by size, then by a hash of
@@ -17,6 +17,8 @@ all their columns, and only rows that are equal in all of them are numbered in a
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +27,6 @@ from .common import WORD, let, row_hash, table, written
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 EPOCHS = 2
-RANGE_ROWS = 20_000
 MOST_SOURCES = 1_000_000
 
 
@@ -65,7 +66,7 @@ def mix(
         raise ValueError(f"more than {MOST_SOURCES} sources")
     goal = targets([r["source_size"] for r in found], weights, share, epochs)
     plan = spark.createDataFrame(
-        [(r["source"], r["source_size"], t, -(-r["n"] // RANGE_ROWS)) for r, t in zip(found, goal, strict=True)],
+        [(r["source"], r["source_size"], t, math.isqrt(r["n"]) + 1) for r, t in zip(found, goal, strict=True)],
         f"source {dict(docs.dtypes)['source']}, source_size long, target double, ranges long",
     )
     # the first 52 bits of the key as a number in [0, 1); equal keys fall in one range

@@ -1,8 +1,9 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust the score.
 
 Kinds: ``email``, ``ip``, ``card`` (Luhn), ``phone`` and ``iban`` (mod 97), plus ``ssn`` and ``secret``, whose shape
-alone says little: they count only where a word before them speaks for them. Each span has a score; those of the
-first four kinds that pass their checks always stay, whatever their score.
+alone says little. Each span has a score: its kind's prior, raised where a word nearby, before or after it, speaks for
+the kind, and lowered where one speaks for something else (an order number, a version, a checksum). Spans of the last
+three kinds count from a least score on; those of the first four that pass their checks always stay, whatever theirs.
 
 Every search is linear in the text, whose whole length is read. Offsets are code points, ends exclusive.
 
@@ -27,8 +28,9 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn", "secret")
 #: Score from which a span of the added kinds counts.
 LEAST_SCORE = 0.6
-#: How many characters before a span are searched for context words.
+#: How many characters before and after a span are searched for context words.
 NEAR = 48
+BEHIND = 24
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -49,6 +51,18 @@ CONTEXT = {
     "ssn": ("ssn", "social", "security"),
     "secret": ("key", "token", "secret", "password", "passwd", "apikey", "bearer"),
 }
+#: Words that speak for something else; fixed values.
+AGAINST = {
+    "email": (),
+    "ip": ("version", "release", "build", "section", "chapter"),
+    "card": ("order", "isbn", "tracking", "serial", "invoice"),
+    "phone": ("isbn", "order", "serial", "version"),
+    "iban": ("serial", "part", "model"),
+    "ssn": ("order", "part", "serial", "invoice", "case"),
+    "secret": ("hash", "commit", "checksum", "digest", "uuid", "path"),
+}
+#: What such words add and take away; fixed values.
+FOR_SCORE, AGAINST_SCORE = 0.4, 0.35
 #: Score of a span without context words, by kind, after its checks; fixed values.
 PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.4, "secret": 0.2}
 NEARBY = re.compile(r"[a-z]+")
@@ -144,9 +158,10 @@ SEARCH = {
 }
 
 
-def score(text: str, kind: str, start: int) -> float:
-    before = NEARBY.findall(text[max(0, start - NEAR) : start].lower())
-    return min(1.0, PRIOR[kind] + 0.4 * any(w in CONTEXT[kind] for w in before))
+def score(text: str, kind: str, start: int, end: int) -> float:
+    near = {*NEARBY.findall(text[max(0, start - NEAR) : start].lower()), *NEARBY.findall(text[end : end + BEHIND].lower())}
+    points = PRIOR[kind] + FOR_SCORE * (not near.isdisjoint(CONTEXT[kind])) - AGAINST_SCORE * (not near.isdisjoint(AGAINST[kind]))
+    return round(min(1.0, max(0.0, points)), 2)
 
 
 def spans(text: str | None, least: float = LEAST_SCORE) -> list[Span]:
@@ -156,7 +171,7 @@ def spans(text: str | None, least: float = LEAST_SCORE) -> list[Span]:
     found, taken = [], []
     for kind, search in SEARCH.items():
         for start, end in search(text):
-            points = score(text, kind, start)
+            points = score(text, kind, start, end)
             if kind in BASE_KINDS:
                 taken.append((start, end))
             elif points < least or any(a < end and start < b for a, b in taken):
@@ -171,9 +186,9 @@ def joined(found: list[Span]) -> str:
 
 SCHEMA = (
     "spans array<struct<kind: string, start: int, end: int, score: double>>, n_email long, n_ip long, n_card long, "
-    "n_phone long, base_sha256 string, joined string"
+    "n_phone long, base_sha256 string, joined string, scores string"
 )
-COLUMNS = ("spans", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "joined")
+COLUMNS = ("spans", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "joined", "scores")
 
 
 def find(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
@@ -181,14 +196,15 @@ def find(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in (piece for batch in parts for piece in slices(batch, 1)):
             rows = [spans(x.as_py(), least) for x in part.column(1)]
             base = [[s for s in row if s.kind in BASE_KINDS] for row in rows]
             columns = [
                 pa.array([[s._asdict() for s in row] for row in rows], pa.list_(span)),
                 *(pa.array([sum(s.kind == k for s in row) for row in base], pa.int64()) for k in BASE_KINDS),
-                pa.array([hashlib.sha256(joined(row).encode()).hexdigest() for row in base]),
+                pa.array([hashlib.sha256(joined(row).encode()).hexdigest() for row in base], pa.string()),
                 pa.array([joined(row) for row in rows], pa.string()),
+                pa.array([",".join(f"{s.score:.2f}" for s in row) for row in rows], pa.string()),
             ]
             yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", *COLUMNS])
 
@@ -211,18 +227,19 @@ def masked(text: str | None, least: float = LEAST_SCORE) -> str | None:
 
 def op6_pii(spark, sf_dir):
     return find(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.col("joined").alias("spans")
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.col("joined").alias("spans"), "scores"
     )
 
 
 def stage(spark, docs, sf_dir):
-    """Mask the spans in every text; ``n_chars`` follows the new text, all else stays."""
+    """Mask the spans in every text; ``n_chars`` follows the new text, all else stays, rows without an id or text too."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            at = part.schema.get_field_index("text")
-            texts = pa.array([masked(x.as_py()) for x in part.column(at)], part.schema.field(at).type)
-            yield part.set_column(at, part.schema.field(at), texts)
+        for batch in parts:
+            at = batch.schema.get_field_index("text")
+            for part in slices(batch, at):
+                texts = pa.array([masked(x.as_py()) for x in part.column(at)], part.schema.field(at).type)
+                yield part.set_column(at, part.schema.field(at), texts)
 
     out = docs.mapInArrow(batches, docs.schema)
     if "n_chars" not in docs.columns:

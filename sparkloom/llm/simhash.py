@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, row_hash, table, written
+from .common import WORD_BYTES, row_hash, slices, table, written
 
 SHINGLE = 4
 RADIUS = 4
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, also: tuple[str, ...]
     """``doc_id``, the columns ``also`` and ``fp``, the fingerprint as a signed long."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in (piece for batch in parts for piece in slices(batch, 1)):
             found = [fingerprint(x.as_py(), shingle) for x in part.column(1)]
             fps = pa.array(np.array(found, np.uint64).view(np.int64))
             rest = [part.column(k) for k in range(2, part.num_columns)]

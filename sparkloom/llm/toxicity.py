@@ -11,7 +11,7 @@ The classifier is fitted on at most ``SAMPLE`` labelled rows, those whose ids ha
 text is scored. Labels are learnt from only where ``crc32(doc_id) mod 3`` is not 1.
 
 Defined results: a null or empty text has no features and gets the base score; null labels and ids are not learnt
-from; with no toxic or no other training text every score is 0; equal ids with several labels or texts give all
+from, nor labels other than 0 and 1 (of any type that casts to them); with no toxic or no other training text every score is 0; equal ids with several labels or texts give all
 combinations to learn from; repeated rows each give a row; extra columns are ignored.
 """
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_ids, table
+from .common import join_ids, slices, table, written
 
 SAMPLE = 20_000
 FEATURES = 2_000
@@ -77,7 +77,8 @@ class Classifier(NamedTuple):
 
 def sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """``text`` and ``toxic`` of the labelled rows with the smallest id hashes, at most ``most`` labels."""
-    usable = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", "toxic")
+    marked = labels.select("doc_id", F.col("toxic").try_cast("int").alias("toxic"))
+    usable = marked.filter("doc_id IS NOT NULL AND toxic IN (0, 1)")
     chosen = usable.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "toxic").limit(most)
     return join_ids(docs.select("doc_id", "text"), chosen, "doc_id", "inner", most)
 
@@ -100,7 +101,7 @@ def choose(found: DataFrame, most: int, least: int = LEAST_DOCS) -> list[str]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, n_features: int = FEATURES) -> Classifier:
-    rows = sample(docs, labels, most)
+    rows = written(sample(docs, labels, most).select("text", "toxic"), "toxicity-sample")
 
     def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts of features among toxic and other texts; a null feature counts the texts."""
@@ -116,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, n_features: int
                 ["feature", "toxic", "n"],
             )
 
-    found = rows.select("text", "toxic").mapInArrow(counted, "feature string, toxic int, n long")
+    found = rows.mapInArrow(counted, "feature string, toxic int, n long")
     totals = found.filter("feature IS NULL")
     chosen = choose(found.filter("feature IS NOT NULL").union(totals.withColumn("feature", F.lit(None).cast("string"))), n_features)
     swap = swaps()
@@ -140,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, n_features: int
     if not names:
         return Classifier({}, -math.inf)
     spec = "x array<int>, swapped array<int>, toxic int"
-    got = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(marked, spec)
+    got = rows.mapInArrow(marked, spec)
     # at most one short list a sampled label; the order of the rows is fixed by sorting them
     data = sorted((r["x"], r["swapped"], r["toxic"]) for r in got.collect())
     return solve(data, names)
@@ -176,7 +177,7 @@ def score(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> D
     """Per row: ``doc_id``, ``score`` and ``predicted``."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in (piece for batch in parts for piece in slices(batch, 1)):
             found = [model.score(x.as_py()) for x in part.column(1)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
 

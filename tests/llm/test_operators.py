@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -319,19 +320,13 @@ def test_lm(spark, docs, rows, empty):
     c = Counter(w for t in train for w in t)
     pairs = Counter(p for t in train for p in zip(["\n", *t], t, strict=False))
     n, v = c.total(), len(c)
-    kind = lambda x: int(np.frexp(float(x))[1])
-    every, once = Counter(), Counter()
-    for (u, _), k in pairs.items():
-        every[kind(c[u])] += k
-        once[kind(c[u])] += k == 1
-
     def scores(text):
         t, base, own = tokens(text), 0.0, 0.0
         for u, w in zip(["\n", *t], t, strict=False):
             p = (c[w] + 0.1) / (n + 0.1 * (v + 1))
             base += math.log10(p)
             if c[u]:
-                rest = (once[kind(c[u])] + 0.1) / (every[kind(c[u])] + 0.2)
+                rest = (1 + c[u]) ** -0.25
                 p = (1 - rest) * pairs[u, w] / c[u] + rest * p
             own += math.log10(p)
         return len(t), sum(c[w] > 0 for w in t), base, own
@@ -498,3 +493,169 @@ def test_unigram_viterbi_is_optimal():
         assert codec.decode(ids) == text
         whole = "▁" + text.replace(" ", "▁")
         assert sum(scores[k - 1] for k in ids) == pytest.approx(best(whole))
+
+
+INSTALLED = {
+    "Apache-2.0": "Apache-2.0", "Artistic-1.0-Perl": "Artistic", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1.0": "GPL-1",
+    "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.0": "LGPL-2", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+
+
+def test_licence_files_with_titles_and_long_ones(spark):
+    text = dict(licenses.KNOWN)
+    titles = {"MIT": "The MIT License (MIT)", "BSD-3-Clause": "BSD 3-Clause License", "Zlib": "zlib License", "ISC": "ISC License"}
+    rows = [(k, f"{title}\n\nCopyright (c) 1999, A. Person\n\n{text[k]}\n") for k, title in titles.items()]
+    rows += [(f"{k}-untitled", text[k]) for k in titles]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(df, licenses.known_licenses(spark)).collect()}
+    assert got == {k: k.removesuffix("-untitled") for k, _ in rows}
+    near = spark.createDataFrame([("a", "Licence licence licence sublicence http http"), ("b", "license license license sublicense https https")], "doc_id string, text string")
+    forms = {r[0] for r in near.select(licenses.canonical(F.col("text"))).collect()}
+    assert forms == {"license license license sublicense https https"}
+    found = [(k, Path("/usr/share/common-licenses", name)) for k, name in INSTALLED.items()]
+    long = [(k, path.read_text()) for k, path in found if path.exists()]
+    assert {k for k, _ in licenses.DIGESTS} == INSTALLED.keys()
+    if long:
+        df = spark.createDataFrame(long, "doc_id string, text string")
+        got = licenses.scan(df, licenses.known_licenses(spark), licenses.known_digests(spark)).collect()
+        assert all(r["license_id"] == r["doc_id"] for r in got)
+
+
+def test_pii_context_raises_and_lowers():
+    score = lambda text: {s.kind: s.score for s in pii.spans(text, 0.0)}
+    assert score("card 4111 1111 1111 1111")["card"] > score("see 4111 1111 1111 1111")["card"] > score("order 4111 1111 1111 1111")["card"]
+    assert score("4111 1111 1111 1111 is my visa")["card"] == score("card 4111 1111 1111 1111")["card"]
+    kinds = lambda text: [s.kind for s in pii.spans(text)]
+    assert kinds("078-05-1120") == [] and kinds("ssn 078-05-1120") == ["ssn"] and kinds("078-05-1120 (social)") == ["ssn"]
+    assert kinds("ssn or part no 078-05-1120") == [] and kinds("order 4111 1111 1111 1111") == ["card"]
+    assert kinds("DE89 3704 0044 0532 0130 00") == ["iban"] and kinds("serial DE89 3704 0044 0532 0130 00") == []
+
+
+def test_viterbi_columns_against_all_segmentations(spark):
+    words = ["▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "▁ab", "ca", "cab"]
+    scores = [-2.0, -2.5, -2.5, -2.6, -3.1, -3.3, -4.9, -2.9, -4.0, -3.6, -5.0]
+    value = dict(zip(words, scores, strict=True))
+
+    def best(text):
+        return max((value[w] + best(text[len(w) :]) for w in words if text.startswith(w)), default=0.0)
+
+    rng = np.random.default_rng(8)
+    rows = [(k, "".join(rng.choice(list("abc "), rng.integers(1, 9)))) for k in range(60)] + [(None, None), (99, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for bpe in (False, True):
+        model = pieces.Model(("<unk>", *words), (0.0, *scores), (pieces.UNKNOWN, *[pieces.NORMAL] * len(words)), bpe, True)
+        got = {r["doc_id"]: r for r in pieces.encode(df, model).collect()}
+        for k, text in rows:
+            want = best("▁" + text.replace(" ", "▁")) if text else 0.0
+            assert got[k]["viterbi_score"] == pytest.approx(want) and got[k]["round_trip"]
+            if not bpe:
+                assert got[k]["viterbi_pieces"] == got[k]["n_pieces"] and got[k]["viterbi_sha256"] == got[k]["ids_sha256"]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    return {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def test_the_queries_keep_their_contracts(spark, table):
+    crc = lambda i, m: zlib.crc32(str(i).encode()) % m
+    run = lambda q: {r["doc_id"]: r for r in q(spark, SF).collect()}
+    got = run(lm.op2_lm_scoring)
+    assert got.keys() == table.keys() and all(r["held_out"] == (crc(k, 10) == 0) for k, r in got.items())
+    assert all(r["n_tokens"] == 1 + len(WORD.findall(lower(table[k]["text"] or ""))) for k, r in got.items())
+    assert len({r["train_tokens"] for r in got.values()}) == 1 == len({r["train_tokens"] - sum(x["n_tokens"] for x in got.values() if not x["held_out"]) + 1 for r in got.values()})
+    got = run(toxicity.op5_toxicity)
+    assert all(r["held_out"] == (crc(k, 3) == 1) and r["predicted"] == int(r["score"] >= 0.7) for k, r in got.items())
+    got = run(pii.op6_pii)
+    for k, r in got.items():
+        base = base_spans(table[k]["text"])
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        assert set(filter(None, base.split(","))) <= set(r["spans"].split(","))
+        assert [base.count(f"{kind}:") for kind in BASE] == [r[f"n_{kind}"] for kind in BASE]
+        assert len(r["scores"].split(",")) == len(r["spans"].split(","))
+    got = run(quality.op8_quality_rules)
+    for k, r in got.items():
+        w = WORD.findall(table[k]["text"] or "")
+        assert (r["n_words"], r["word_chars"]) == (len(w), sum(map(len, w))) and not (r["kept"] and r["base_failed"])
+    got = run(simhash.op10_simhash_near_dedup)
+    order = sorted(table)
+    points = [fingerprint(table[k]["text"]) for k in order]
+    for k, fp, root in zip(order, points, linked(points, 4), strict=True):
+        assert (got[k]["fingerprint"], got[k]["component_id"]) == (f"{fp:016x}", order[root])
+    got = run(pieces.op9_sentencepiece)
+    assert got.keys() == table.keys() and all(r["round_trip"] for r in got.values())
+    pages = {r["page_id"]: r for r in urls.op1_url_filters(spark, SF).collect()}
+    assert pages.keys() == {r["page_id"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    assert {r["verdict"] for r in pages.values()} <= {"allow", "block"}
+
+
+def test_string_ids(spark, rows):
+    df = spark.createDataFrame([(None if r[0] is None else f"id-{r[0]}", *r[1:]) for r in rows], SCHEMA.replace("long", "string", 1))
+    want = {f"id-{r[0]}" for r in rows if r[0] is not None} | {None}
+    for out in (lm.score(df), simhash.near_duplicates(df), pii.find(df), mixing.mix(df), pieces.encode(df, pieces.read_model())):
+        found = out.select("doc_id").collect()
+        assert len(found) == len(rows) and {r["doc_id"] for r in found} == want
+
+
+def test_url_classifier_against_a_plain_one(spark):
+    """The same stochastic descent, in Python over sparse features, and names that it has not learnt from."""
+    buckets, epochs, rate = 256, 3, 0.5
+    pages = spark.createDataFrame(list(enumerate(u for _, u in urls.LABELLED)), "page_id long, url string")
+    parts = pages.select("page_id", urls.host_and_path(F.col("url")).alias("u"), F.xxhash64("url").alias("order"))
+    found = parts.select("page_id", "order", urls.grams(F.col("u.host"), F.col("u.path"), buckets).alias("g")).orderBy("order").collect()
+    w, bias = np.zeros(buckets), 0.0
+    x = {r["page_id"]: np.bincount(r["g"], minlength=buckets) / math.sqrt(len(r["g"])) for r in found}
+    for _ in range(epochs):
+        for r in found:
+            by = rate * (urls.LABELLED[r["page_id"]][0] - 1 / (1 + math.exp(-(w @ x[r["page_id"]] + bias))))
+            w, bias = w + by * x[r["page_id"]], bias + by
+    got = urls.train(urls.labelled_urls(spark), buckets, epochs, rate)
+    assert np.allclose(got, [*w, bias])
+    scores = {r["page_id"]: r["score"] for r in urls.judge(pages, got).collect()}
+    assert all(scores[k] == pytest.approx(1 / (1 + math.exp(-(w @ v + bias)))) for k, v in x.items())
+    held = spark.createDataFrame([(1, "https://win-casino.example.com/en/1"), (1, "http://www.free-casino.example.org/fr/2"), (0, "https://m.gardening-news.example.org/de/3"),
+                                  (0, "https://open-science.example.com/en/4")], "label int, url string")
+    out = urls.judge(held.select(F.monotonically_increasing_id().alias("page_id"), "url"), urls.train(urls.labelled_urls(spark)), ()).orderBy("page_id").collect()
+    assert [r["verdict"] for r in out] == ["block", "block", "allow", "allow"]
+
+
+def test_toxicity_solver_finds_the_minimum():
+    """Its weights are where the gradient of the penalised loss vanishes: any small step from them raises the loss."""
+    rng = np.random.default_rng(9)
+    data = [(sorted(rng.choice(6, 3, replace=False).tolist()), sorted(rng.choice(6, 3, replace=False).tolist()), int(k % 2)) for k in range(60)]
+    model = toxicity.solve(data, list("abcdef"))
+
+    def loss(w, bias):
+        n, good = len(data), sum(y == 0 for *_, y in data)
+        total = 0.5 * toxicity.L2 * (w @ w)
+        for own, other, y in data:
+            z = w[own].sum()
+            total += 0.5 / (len(data) - good if y else good) * math.log1p(math.exp(-(z + bias) if y else z + bias))
+            total += toxicity.COUNTERFACTUAL * (z - w[other].sum()) ** 2 / n
+        return total
+
+    w = np.array([model.weights.get(c, 0.0) for c in "abcdef"])
+    least = loss(w, model.bias)
+    for _ in range(200):
+        assert loss(w + rng.normal(size=6) * 0.02, model.bias + rng.normal() * 0.02) > least - 1e-7
+
+
+@pytest.mark.parametrize("name", ["quality", "simhash", "pii", "mixing", "pieces"])
+def test_stages_keep_what_they_should_of_odd_rows(spark, rows, empty, name):
+    module = {"quality": quality, "simhash": simhash, "pii": pii, "mixing": mixing, "pieces": pieces}[name]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3).withColumns({c: F.lit("clash") for c in EXTRA})
+    out = module.stage(spark, df, SF).collect()
+    assert module.stage(spark, empty, SF).count() == 0
+    if name != "pieces":
+        assert module.stage(spark, df, SF).columns == df.columns and all(r["size"] == "clash" for r in out)
+    if name in ("pii", "pieces"):
+        assert multiset(r["doc_id"] for r in out) == multiset(r[0] for r in rows)
+    if name == "simhash":
+        texts = {fingerprint(r["text"]) for r in out}
+        assert all(any((fingerprint(r[1]) ^ t).bit_count() <= 4 or fingerprint(r[1]) in texts for t in texts) for r in rows)
+    if name == "mixing":
+        plan = sum(r["taken"] for r in mixing.mix(df).collect())
+        assert sum(len(WORD.findall(r["text"])) for r in out) == plan
