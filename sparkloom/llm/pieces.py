@@ -34,8 +34,8 @@ from .common import slices, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Bytes, by estimate, that a worker's table of units may take; those of pairs take as much together.
-REMEMBERED = 48 << 20
+#: Bytes, by estimate, that a worker's table of units may take; those of pairs take less than half as much.
+REMEMBERED = 160 << 20
 LONGEST_REMEMBERED = 40
 #: A character without a piece scores so much less than the worst piece of a unigram model.
 UNKNOWN_PENALTY = 10.0
@@ -114,6 +114,8 @@ class Codec:
         self.texts = [*model.pieces, *bare, ""]
         self.start = size + len(bare)
         parts = ids | {c: size + k for k, c in enumerate(bare)}
+        self.width = [max(1, len(x)) for x in self.texts]
+        self.none = -float("inf")
         self.gain = [self.score.get(x, self.worst) for x in self.texts]
         self.automaton = ahocorasick.Automaton()
         for piece, part in parts.items():
@@ -124,10 +126,10 @@ class Codec:
         self.surface = [self._surface(p, kind) for p, kind in zip(model.pieces, model.kinds, strict=True)]
         self.known = set("".join(ids))
         self.units = self._units(ids)
-        self.remembered = Bounded(self.unit, 400, REMEMBERED)
-        self.stable = Bounded(self._stable, 120, REMEMBERED // 2)
-        self.halves = Bounded(self._halves, 250, REMEMBERED // 6)
-        self.edges = Bounded(self._edge, 250, REMEMBERED // 3)
+        self.remembered = Bounded(self.unit, 180, REMEMBERED)
+        self.stable = Bounded(self._stable, 120, REMEMBERED // 4)
+        self.halves = Bounded(self._halves, 250, REMEMBERED // 16)
+        self.edges = Bounded(self._edge, 250, REMEMBERED // 16)
 
     def _units(self, pieces: Iterable[str]) -> re.Pattern:
         """Cuts a text where no piece has the characters on both sides next to one another: around characters of no
@@ -208,34 +210,35 @@ class Codec:
                     return False
         return True
 
-    def ways(self, text: str) -> tuple[list[int], list[int], list[int], list[int], float]:
-        """For each position the last part and where it begins, of the text's BPE encoding up to there (left alone
-        for a unigram model) and of the best-scored way to get there; then the score of the whole. Every character
-        is in some piece, so every position is reached."""
+    def ways(self, text: str) -> tuple[list[int], list[int], float]:
+        """For each position the last part of the text's BPE encoding up to there (left alone for a unigram model) and
+        that of the best-scored way to get there; then the score of the whole. Every character is in some piece, so
+        every position is reached."""
         n = len(text) + 1
         size, stable, bpe, gain = len(self.texts), self.stable, self.model.bpe, self.gain
-        part, since, best, start, total = [0] * n, [0] * n, [0] * n, [0] * n, [-np.inf] * n
+        part, best, total = [0] * n, [0] * n, [self.none] * n
         part[0], total[0] = self.start, 0.0
         for last, (width, own) in self.automaton.iter(text):
             end = last + 1
             begin = end - width
             reached = total[begin] + gain[own]
             if reached > total[end]:
-                total[end], best[end], start[end] = reached, own, begin
+                total[end] = reached
+                best[end] = own
             if bpe and not part[end] and stable[part[begin] * size + own]:
-                part[end], since[end] = own, begin
-        return part, since, best, start, total[-1]
+                part[end] = own
+        return part, best, total[-1]
 
-    def path(self, unit: str, part: list[int], begin: list[int]) -> list[int]:
+    def path(self, unit: str, part: list[int]) -> list[int]:
         """The ids along the last parts, from the end back; a character that is no piece is its bytes."""
-        size, end, found = len(self.model.pieces), len(unit), []
+        size, width, end, found = len(self.model.pieces), self.width, len(unit), []
         while end:
             own = part[end]
             if own < size:
                 found.append(own)
             else:
                 found.extend(self.spelt(unit[end - 1])[::-1])
-            end = begin[end]
+            end -= width[own]
         found.reverse()
         return found
 
@@ -246,9 +249,9 @@ class Codec:
         if unit[0] not in self.known:
             ids = [k for c in unit for k in self.spelt(c)]
             return Unit(packed(ids), self.surfaces(ids), packed(ids), self.worst * len(unit))
-        part, since, best, start, score = self.ways(unit)
-        scored = self.path(unit, best, start)
-        ids = self.path(unit, part, since) if self.model.bpe else scored
+        part, best, score = self.ways(unit)
+        scored = self.path(unit, best)
+        ids = self.path(unit, part) if self.model.bpe and part != best else scored
         known = packed(ids)
         return Unit(known, self.surfaces(ids), known if ids == scored else packed(scored), score)
 
