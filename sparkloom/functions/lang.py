@@ -36,12 +36,38 @@ def ieee_div(a: Column, b: Column) -> Column:
 
 
 def floor_div(a: Column, b: Column) -> Column:
-    return F.floor(a / F.when(b != 0, b))
+    """The whole quotient as a double: NaN or an infinity where a double's would be."""
+    x = ieee_div(a, b)
+    whole = F.when(F.abs(x) < 2.0**53, F.floor(F.when(F.abs(x) < 2.0**53, x)).cast("double"))
+    return F.when(F.isnan(x) | (b.cast("double") == 0) & (a.cast("double") == 0), F.lit(NAN)).otherwise(F.coalesce(whole, x))
 
 
 def py_mod(a: Column, b: Column) -> Column:
-    b = F.when(b != 0, b)
-    return ((a % b) + b) % b
+    """The remainder with the divisor's sign; NaN by zero."""
+    by = F.when(b != 0, b)
+    return F.when(b == 0, F.lit(NAN)).otherwise(((a % by) + by) % by)
+
+
+def whole(x: Column) -> Column:
+    """As a 32-bit integer; what has none (NaN, infinities, larger numbers) is the smallest one, as in arrays."""
+    x = x.cast("double")
+    return F.when(F.abs(x) < 2.0**31, F.when(F.abs(x) < 2.0**31, x).cast("int")).otherwise(F.lit(-(2**31)).cast("int"))
+
+
+def lesser(*xs: Column) -> Column:
+    """The least; NaN if any is."""
+    return F.when(_any_nan(xs), F.lit(NAN)).otherwise(F.least(*xs))
+
+
+def greater(*xs: Column) -> Column:
+    return F.when(_any_nan(xs), F.lit(NAN)).otherwise(F.greatest(*xs))
+
+
+def _any_nan(xs) -> Column:
+    out = F.lit(False)
+    for x in xs:
+        out = out | F.isnan(x.cast("double"))
+    return out
 
 
 def safe_log(x: Column, fn: Callable[[Column], Column] = F.log, zero: float = 0.0) -> Column:
@@ -100,7 +126,9 @@ def _same(*dims: U.Dim) -> U.Dim:
 
 
 def _int32(x):
-    return np.asarray(x).astype(np.int32)
+    x = np.asarray(x, float)
+    fits = np.abs(x) < 2.0**31
+    return np.where(fits, np.where(fits, x, 0), -(2.0**31)).astype(np.int32)
 
 
 FUNCTIONS: dict[str, Function] = {}
@@ -120,14 +148,14 @@ for _n, _c, _f in (
 ):
     register(Function(_n, _c, _f, _plain))
 register(Function("sqrt", lambda x: F.when(x >= 0, F.sqrt(x)).when(x < 0, F.lit(NAN)), np.sqrt, lambda d: U.power(d, 0.5)))
-register(Function("ceil", lambda x: F.ceil(x).cast("int"), lambda x: _int32(np.ceil(x)), _plain))
-register(Function("floor", lambda x: F.floor(x).cast("int"), lambda x: _int32(np.floor(x)), _plain))
-register(Function("int", lambda x: x.cast("int"), _int32, _plain))
+register(Function("ceil", lambda x: whole(F.ceil(F.when(F.abs(x) < 2.0**31, x))), lambda x: _int32(np.ceil(x)), _plain))
+register(Function("floor", lambda x: whole(F.floor(F.when(F.abs(x) < 2.0**31, x))), lambda x: _int32(np.floor(x)), _plain))
+register(Function("int", whole, _int32, _plain))
 register(Function("abs", F.abs, np.abs, lambda d: d))
 register(Function("sign", F.signum, np.sign, lambda d: U.NONE))
-register(Function("clip", lambda x, a, b: F.least(F.greatest(x, a), b), np.clip, _same, 3))
-register(Function("minimum", F.least, np.minimum, _same, 2))
-register(Function("maximum", F.greatest, np.maximum, _same, 2))
+register(Function("clip", lambda x, a, b: lesser(greater(x, a), b), np.clip, _same, 3))
+register(Function("minimum", lesser, np.minimum, _same, 2))
+register(Function("maximum", greater, np.maximum, _same, 2))
 register(Function("timestep", timestep, lambda t, dt: ((np.asarray(t) + 1e-3 * dt) / dt).astype(np.int64), lambda a, b: _same(a, b) and U.NONE, 2))
 register(Function("where", lambda c, a, b: F.when(c, a).otherwise(b), np.where, lambda c, a, b: _same(a, b), 3))
 # drawn by the counter generator of functions.rng, bound in the namespace of a step
@@ -180,6 +208,40 @@ def parse(text: str | ast.expr) -> ast.expr:
     return _Inline().visit(tree.body)
 
 
+class _Numbered(ast.NodeTransformer):
+    def __init__(self, site: str):
+        self.site, self.n = site, 0
+
+    def visit_Call(self, node: ast.Call) -> ast.AST:
+        self.generic_visit(node)
+        if node.func.id not in DRAWS:
+            return node
+        self.n += 1
+        name = f"_{node.func.id}_{self.site}_{self.n}"
+        return ast.Call(ast.Name(name, ast.Load()), node.args, []) if node.args else ast.Name(name, ast.Load())
+
+
+#: Functions that draw.
+DRAWS = ("rand", "randn", "poisson")
+
+
+def numbered(tree: str | ast.expr, site: str) -> ast.expr:
+    """With every call that draws under a name of its own, so that two calls in a tick don't share a draw (UDF-7)."""
+    return _Numbered(site).visit(ast.parse(ast.unparse(parse(tree)), mode="eval").body)
+
+
+def draws(tree: str | ast.expr) -> set[str]:
+    """Functions with a state that an expression calls."""
+    called = {n.func.id for n in ast.walk(parse(tree)) if isinstance(n, ast.Call)}
+    return {c for c in called if c in FUNCTIONS and not FUNCTIONS[c].stateless}
+
+
+def _drawn(name: str) -> tuple[str, str] | None:
+    """What a numbered name draws, and its site."""
+    kind, _, site = name[1:].partition("_")
+    return (kind, site) if name.startswith("_") and kind in DRAWS and site else None
+
+
 class _Substitute(ast.NodeTransformer):
     def __init__(self, by: Mapping[str, ast.expr]):
         self.by = by
@@ -234,6 +296,8 @@ class Walker:
                 found = [self.compare(COMPARE[type(o)], x, y) for o, x, y in zip(ops, items, items[1:], strict=False)]
                 return found[0] if len(found) == 1 else self.boolean(True, found)
             case ast.Call(func=ast.Name(id=name), args=args):
+                if drawn := _drawn(name):
+                    return self.namespace[drawn[0]](drawn[1], *[self.visit(x) for x in args])
                 if name not in FUNCTIONS and name not in self.namespace:
                     raise unknown(name, [*FUNCTIONS, *self.namespace])
                 return self.call(name, [self.visit(x) for x in args])
@@ -242,6 +306,8 @@ class Walker:
     def name(self, name: str) -> Any:
         if name in self.namespace:
             return self.namespace[name]
+        if (drawn := _drawn(name)) and drawn[0] in self.namespace:
+            return self.namespace[drawn[0]](drawn[1])
         for known in (U.CONSTANTS, U.UNITS):
             if name in known:
                 return self.quantity(known[name])
@@ -440,7 +506,8 @@ class Statement:
         return parse(f"({self.target}) {self.op} ({ast.unparse(self.value)})") if self.op else self.value
 
 
-def statements(code: str) -> list[Statement]:
+def statements(code: str, calls: tuple[str, ...] = ()) -> list[Statement]:
+    """The assignments of a code, one a line or between semicolons; ``calls`` are functions that whoever asks knows."""
     out = []
     for line in code.replace(";", "\n").splitlines():
         line = line.split("#")[0].strip()

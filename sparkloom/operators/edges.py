@@ -47,22 +47,25 @@ def connect_random(pre: DataFrame, n_post: int, p: float, seed: int) -> DataFram
         return pre.select("i", F.lit(0).cast("bigint").alias("j")).limit(0)
     if p >= 1:
         return pre.select("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_post - 1).cast("bigint"))).alias("j"))
-    most = int(n_post * p + 12 * (n_post * p * (1 - p)) ** 0.5 + 20)
-    gaps = F.transform(
-        F.sequence(F.lit(0), F.lit(min(most, n_post))),
-        lambda k: F.floor(F.log(1.0 - rng.uniform(seed, "gap", F.col("i"), k)) / F.log(F.lit(1.0 - p))).cast("bigint") + 1,
-    )
-    start = F.struct(F.lit(-1).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("found"))
-    walk = F.aggregate(
-        gaps,
-        start,
-        lambda s, g: F.struct(
-            (s["at"] + g).alias("at"),
-            F.when(s["at"] + g < n_post, F.array_append(s["found"], s["at"] + g)).otherwise(s["found"]).alias("found"),
-        ),
-        lambda s: s["found"],
-    )
-    return pre.select("i", F.explode(walk).alias("j"))
+    # the targets are cut into stretches of about 64 expected edges; a stretch's gaps go on until they leave it, which
+    # they do at the latest after as many as it has targets
+    width = min(n_post, max(1, int(64 / p)))
+    stretches = pre.select("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((n_post - 1) // width).cast("bigint"))).alias("_part"))
+    usual = min(width, 64 + 12 * 8 + 20)
+
+    def gap(k: Column) -> Column:
+        return F.floor(F.log(1.0 - rng.uniform(seed, "gap", F.col("i"), F.col("_part"), k)) / F.log(F.lit(1.0 - p))).cast("bigint") + 1
+
+    def places(last: int) -> Column:
+        gaps = F.transform(F.sequence(F.lit(0), F.lit(last)), gap)
+        start = F.array(F.lit(-1).cast("bigint"))
+        return F.slice(F.aggregate(gaps, start, lambda s, g: F.array_append(s, F.element_at(s, -1) + g)), 2, last + 1)
+
+    found = places(usual)
+    # gaps that have not left the stretch by then are all drawn
+    whole = F.when(F.element_at(found, -1) < width, places(width)).otherwise(found) if usual < width else found
+    out = stretches.select("i", "_part", F.explode(whole).alias("_at")).filter(F.col("_at") < width)
+    return out.select("i", (F.col("_part") * width + F.col("_at")).alias("j")).filter(F.col("j") < n_post)
 
 
 def connect_sample(pre: DataFrame, n_post: int, size: int, seed: int) -> DataFrame:

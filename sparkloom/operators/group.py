@@ -68,12 +68,19 @@ class Group:
         base["not_refractory"], base["lastspike"] = F.col("not_refractory"), F.col("lastspike")
         base.update(extra or {})
         tick = base.get("_tick", F.lit(-1))
-        base.setdefault("rand", lambda: rng.uniform(self.seed, f"{self.name}/rand", tick, F.col("i")))
-        base.setdefault("randn", lambda: rng.normal(self.seed, f"{self.name}/randn", tick, F.col("i")))
+        base.setdefault("rand", lambda site="": rng.uniform(self.seed, f"{self.name}/rand/{site}", tick, F.col("i")))
+        base.setdefault("randn", lambda site="": rng.normal(self.seed, f"{self.name}/randn/{site}", tick, F.col("i")))
+        base.setdefault("poisson", lambda site, rate: rng.poisson(rate, self.seed, f"{self.name}/poisson/{site}", tick, F.col("i")))
         return base
 
-    def column(self, text: str, extra: Mapping[str, Any] | None = None) -> Column:
-        return lang.column(self.equations.resolved(text), self.columns(extra))
+    def code(self, text: str | Any, site: str):
+        """An expression of the group with views put in and draws numbered: ``site`` names the place that it stands at."""
+        return lang.numbered(self.equations.resolved(text), site)
+
+    def column(self, text: str, extra: Mapping[str, Any] | None = None, site: str = "column") -> Column:
+        """An expression as a column of the group's table, views that hold a value during a tick put in too."""
+        held = {name: lang.column(lang.numbered(tree, f"held{name}"), self.columns(extra)) for name, tree in self.equations.held()}
+        return lang.column(self.code(text, site), self.columns({**held, **(extra or {})}))
 
     def set(self, name: str, value: str | float, where: str | None = None) -> Group:
         """Set a column from an expression, everywhere or where a predicate holds (PRJ-4, PRJ-5)."""
@@ -84,15 +91,15 @@ class Group:
 
     def table(self, spark: SparkSession) -> DataFrame:
         """The initial state (SRC-1)."""
-        all_names = ["i", "lastspike", "not_refractory", *self.equations.items]
-        if len({x.lower() for x in all_names}) < len(all_names):
-            # names that differ in case alone, such as i and I
-            spark.conf.set("spark.sql.caseSensitive", "true")
+        taken = [x for x in self.equations.items if x.lower() in ("i", "lastspike", "not_refractory")]
+        lower = [x.lower() for x in self.equations.items]
+        if (taken or len(set(lower)) < len(lower)) and spark.conf.get("spark.sql.caseSensitive") != "true":
+            raise ValueError(f"column names that differ in case alone need spark.sql.caseSensitive: {sorted({*taken, *(x for x in self.equations.items if lower.count(x.lower()) > 1)})}")
         df = spark.range(self.n).select(F.col("id").alias("i"))
         df = df.withColumns({k: F.lit(0).cast(t) for k, t in self.stored.items()})
         df = df.withColumns({"lastspike": F.lit(NEVER), "not_refractory": F.lit(True)})
-        for name, value, where in self.initial:
-            new = self.column(value).cast(self.stored[name])
+        for k, (name, value, where) in enumerate(self.initial):
+            new = self.column(value, site=f"set{k}").cast(self.stored[name])
             df = df.withColumn(name, F.when(self.column(where), new).otherwise(F.col(name)) if where else new)
         return df
 
@@ -111,7 +118,18 @@ class Group:
     # --- the fold ---------------------------------------------------------------------------------------------
 
     def plan(self, dt: float) -> tuple[str, integrators.Step]:
-        return integrators.step(self.equations, self.method, self.constants(), dt)
+        """The method that takes the equations, and the statements of a step, draws numbered."""
+        method, step = integrators.step(self.equations, self.method, self.constants(), dt)
+        return method, [(name, lang.numbered(tree, f"step{k}")) for k, (name, tree) in enumerate(step)]
+
+    def held(self) -> list[tuple[str, Any]]:
+        return [(name, lang.numbered(tree, f"held{name}")) for name, tree in self.equations.held()]
+
+    def resets(self) -> list[tuple[str, Any]]:
+        return [(x.target, self.code(x.full, f"reset{k}")) for k, x in enumerate(lang.statements(self.reset or ""))]
+
+    def noises(self, step: integrators.Step) -> list[str]:
+        return sorted({n for _, tree in step for n in lang.names(tree) if n.startswith("_dW")})
 
     def fold(self, df: DataFrame, ticks: int, dt: float, record: tuple[str, ...] = (), every: int = 1, first: int = 0) -> DataFrame:
         """All ticks of all rows in one expression, without a shuffle or a job per tick.
@@ -119,6 +137,8 @@ class Group:
         Each row gives its final columns, ``spikes`` (ticks at which it fired) and ``trace``: what ``record`` names,
         taken at the start of each ``every``-th tick (SNK-1, SNK-3)."""
         _, step = self.plan(dt)
+        noises, held, resets = self.noises(step), self.held(), self.resets()
+        threshold = self.code(self.threshold, "threshold") if self.threshold else None
         kept = [*self.stored, "lastspike", "not_refractory"]
         types = self.stored | {"lastspike": "double", "not_refractory": "boolean"}
         spec = "".join(f"{r}: double, " for r in record)
@@ -131,12 +151,15 @@ class Group:
         def tick(state: Column, k: Column) -> Column:
             t = k.cast("double") * dt
             env = {name: state[name] for name in kept}
-            base = {"t": t, "dt": F.lit(dt), "_tick": k, "_dW": rng.normal(self.seed, f"{self.name}/xi", k, F.col("i")) * dt**0.5}
+            base = {"t": t, "dt": F.lit(dt), "_tick": k}
+            base |= {x: rng.normal(self.seed, f"{self.name}/xi{x[3:]}", k, F.col("i")) * dt**0.5 for x in noises}
 
             def run(tree):
                 return lang.column(tree, self.columns({**base, **env}))
 
-            shown = F.struct(*[run(self.equations.resolved(r)).cast("double").alias(r) for r in record], k.alias("tick"))
+            for name, tree in held:
+                base[name] = run(tree)
+            shown = F.struct(*[run(self.code(r, f"show{r}")).cast("double").alias(r) for r in record], k.alias("tick"))
             trace = F.when(k % every == 0, F.array_append(state["trace"], shown)).otherwise(state["trace"]) if record else state["trace"]
             if self.refractory is not None:
                 env["not_refractory"] = self._ready(run, t, dt, state)
@@ -144,14 +167,12 @@ class Group:
             if self.threshold is None:
                 return F.struct(*[out[k].alias(k) for k in kept], state["spikes"].alias("spikes"), trace.alias("trace"))
             env.update(out)
-            fired = run(self.equations.resolved(self.threshold)) & env["not_refractory"]
+            fired = run(threshold) & env["not_refractory"]
 
             # a struct for what the reset reads, so that the threshold is taken once
             def reset(s: Column) -> Column:
                 env.update({name: s[name] for name in kept})
-                changed = self._statements(
-                    [(x.target, self.equations.resolved(x.full)) for x in lang.statements(self.reset or "")], env, run, types, guarded=False
-                )
+                changed = self._statements(resets, env, run, types, guarded=False)
                 env.update({name: s[name] for name in kept})
                 return F.struct(
                     *[F.when(s["fired"], changed[c]).otherwise(s[c]).alias(c) if c not in ("lastspike", "not_refractory") else s[c].alias(c) for c in kept],
@@ -172,7 +193,7 @@ class Group:
 
     def _ready(self, run, t: Column, dt: float, state: Column) -> Column:
         """Whether a row may change and fire again: by ticks since it fired, or by a condition that only frees it."""
-        tree = lang.parse(str(self.refractory))
+        tree = self.code(str(self.refractory), "refractory")
         if isinstance(self.refractory, str) and any(type(n).__name__ in ("Compare", "BoolOp") for n in lang.ast.walk(tree)):
             return state["not_refractory"] | ~run(tree)
         held = lang.timestep(run(tree).cast("double"), F.lit(dt))

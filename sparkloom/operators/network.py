@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import ast
 import json
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,8 +33,8 @@ from .group import NEVER, Group
 def folder(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -72,22 +74,34 @@ class Kernel:
     name: str
     record: tuple[str, ...] = ()
     views: dict[str, str] = field(default_factory=dict)
+    held: list[tuple[str, str]] = field(default_factory=list)
 
     @classmethod
     def of(cls, group: Group, dt: float, record: tuple[str, ...] = ()) -> Kernel:
-        eqs, text = group.equations, ast.unparse
+        text = ast.unparse
         _, step = group.plan(dt)
-        tree = lang.parse(str(group.refractory)) if group.refractory is not None else None
+        tree = group.code(str(group.refractory), "refractory") if group.refractory is not None else None
+        lines = lambda code: [(k, text(v)) for k, v in code]
         return cls(
-            group.stored, {k: float(v) for k, v in group.constants().items()}, [(k, text(v)) for k, v in step],
-            text(eqs.resolved(group.threshold)) if group.threshold else None,
-            [(s.target, text(eqs.resolved(s.full))) for s in lang.statements(group.reset or "")],
-            text(eqs.resolved(tree)) if tree is not None else None,
+            group.stored, {k: float(v) for k, v in group.constants().items()}, lines(step),
+            text(group.code(group.threshold, "threshold")) if group.threshold else None, lines(group.resets()),
+            text(tree) if tree is not None else None,
             tree is not None and any(isinstance(x, (ast.Compare, ast.BoolOp)) for x in ast.walk(tree)),
-            frozenset(e.name for e in eqs.of("ode").values() if "unless refractory" in e.flags),
-            group.n, dt, group.seed, group.name, record, {r: text(eqs.resolved(r)) for r in record},
+            frozenset(e.name for e in group.equations.of("ode").values() if "unless refractory" in e.flags),
+            group.n, dt, group.seed, group.name, record, {r: text(group.code(r, f"show{r}")) for r in record}, lines(group.held()),
         )
 
+    def draws(self, tick: int, ids: np.ndarray) -> dict:
+        """What the functions that draw mean in a tick, and the noise of its step."""
+        place = lambda kind, site: f"{self.name}/{kind}/{site}"
+        env = {
+            "rand": lambda site="": rng.uniforms(self.seed, place("rand", site), tick, ids),
+            "randn": lambda site="": rng.normals(self.seed, place("randn", site), tick, ids),
+            "poisson": lambda site, rate: rng.poissons(rate, self.seed, place("poisson", site), tick, ids),
+        }
+        noises = {n for _, e in self.step for n in re.findall(r"\b_dW\w*", e)}
+        return env | {n: rng.normals(self.seed, f"{self.name}/xi{n[3:]}", tick, ids) * self.dt**0.5 for n in noises}
+
     def run(self, rows: pd.DataFrame, due: pd.DataFrame, first: int, ticks: int):
         """Advance the rows by some ticks. Gives the new rows, events and recorded values."""
         rows = rows.sort_values("i").reset_index(drop=True)
@@ -95,16 +109,18 @@ class Kernel:
         state = {k: rows[k].to_numpy().astype({"double": float, "int": np.int32, "boolean": bool}[t]) for k, t in self.stored.items()}
         last, ready = rows["lastspike"].to_numpy().astype(float), rows["not_refractory"].to_numpy().astype(bool)
         due = due.sort_values(["due", "target", "seq", "src"])
+        if len(due) and due["due"].iloc[0] < first:
+            raise ValueError("a delivery is due before the ticks of this round")
         bounds = np.searchsorted(due["due"].to_numpy(), np.arange(first, first + ticks + 1))
         at, values, names = np.searchsorted(ids, due["j"].to_numpy()), due["value"].to_numpy(), due["target"].to_numpy()
         events, traces = [], []
         for k in range(first, first + ticks):
             t = k * self.dt
             env = {**self.constants, **state, "t": t, "dt": self.dt, "N": self.n, "i": ids, "lastspike": last}
-            env["rand"] = lambda k=k: uniforms(self.seed, f"{self.name}/rand", k, ids)
-            env["randn"] = lambda k=k: normals(self.seed, f"{self.name}/randn", k, ids)
-            if any("_dW" in e for _, e in self.step):
-                env["_dW"] = normals(self.seed, f"{self.name}/xi", k, ids) * self.dt**0.5
+            env |= self.draws(k, ids)
+            env["not_refractory"] = ready
+            for name, tree in self.held:
+                env[name] = np.broadcast_to(lang.array(tree, env), ids.shape)
             if self.record:
                 env["not_refractory"] = ready
                 traces.append((k, {r: np.broadcast_to(lang.array(e, env), ids.shape).astype(float) for r, e in self.views.items()}))
@@ -148,21 +164,6 @@ class Kernel:
             env[target] = value
 
 
-def uniforms(seed: int, stream: str, tick: int, ids: np.ndarray) -> np.ndarray:
-    """Draws that belong to (seed, stream, tick, row)."""
-    key = rng.xxhash.xxh64_intdigest(f"{seed}/{stream}/{tick}")
-    x = ids.astype(np.uint64) + np.uint64(key)
-    # a mixing function of 64-bit integers: shifts and odd multipliers
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * rng.SCALE
-
-
-def normals(seed: int, stream: str, tick: int, ids: np.ndarray) -> np.ndarray:
-    u, v = uniforms(seed, stream + "/r", tick, ids), uniforms(seed, stream + "/a", tick, ids)
-    return np.sqrt(-2 * np.log(1 - u)) * np.cos(2 * np.pi * v)
-
-
 def advancing(kernel: Kernel, first: int, ticks: int, names: list[str]):
     """A round of one shard: rows after it (kind 0), its events (1) and recorded values (2)."""
 
@@ -206,7 +207,8 @@ class Network:
         found = []
         for p in self.pathways:
             if isinstance(p.delay, str):
-                found.append(self.edges.agg(F.min(self._delay(p, dt))).first()[0] or 1)
+                least = self.edges.agg(F.min(self._delay(p, dt))).first()[0]
+                found += [] if least is None else [least]
             else:
                 found.append(int(p.delay / dt + 0.5))
         return min(found, default=1)
@@ -234,7 +236,7 @@ class Network:
         ticks = int(duration / dt + 0.5)
         window = self._shortest(dt)
         if window < 1:
-            raise ValueError("a delay shorter than half a step: give it at least one step, or use one shard's fold")
+            raise ValueError("a delay shorter than half a step: give it at least one step, or run `relational` or an `Assembly`")
         shards = self.shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
         kernel = Kernel.of(self.group, dt, record)
         base = f"{folder(spark)}/network-{uuid.uuid4().hex}"
@@ -324,12 +326,16 @@ def relational(group: Group, edges: DataFrame, pathways: list[Pathway], spark: S
     for k in range(ticks):
         env = {c: F.col(c) for c in types}
         t = F.lit(k * dt)
-        run = lambda tree, env=env, t=t, k=k: lang.column(tree, group.columns({**env, "t": t, "dt": F.lit(dt), "_tick": F.lit(k)}))
+        more = {x: rng.normal(group.seed, f"{group.name}/xi{x[3:]}", F.lit(k), F.col("i")) * dt**0.5 for x in group.noises(step)}
+        for name, tree in group.held():
+            state = state.withColumn(f"_held_{name}", lang.column(tree, group.columns({**env, "t": t, "dt": F.lit(dt), "_tick": F.lit(k)})))
+            more[name] = F.col(f"_held_{name}")
+        run = lambda tree, env=env, t=t, k=k, more=more: lang.column(tree, group.columns({**env, **more, "t": t, "dt": F.lit(dt), "_tick": F.lit(k)}))
         if group.refractory is not None:
             state = state.withColumn("not_refractory", group._ready(run, t, dt, F.struct(*types)))
-        new = group._statements(step, dict(env), lambda tree, e=env: run(tree), types, True) if not step else _stepwise(group, step, env, t, dt, k, types)
+        new = group._statements(step, dict(env), lambda tree, e=env: run(tree), types, True) if not step else _stepwise(group, step, env, t, dt, k, types, more)
         state = state.withColumns(new)
-        fired = run(group.equations.resolved(group.threshold)) & F.col("not_refractory")
+        fired = run(group.code(group.threshold, "threshold")) & F.col("not_refractory")
         state = state.withColumn("_fired", fired).withColumn("lastspike", F.when(F.col("_fired"), t).otherwise(F.col("lastspike")))
         if group.refractory is not None:
             state = state.withColumn("not_refractory", F.col("not_refractory") & ~F.col("_fired"))
@@ -342,16 +348,17 @@ def relational(group: Group, edges: DataFrame, pathways: list[Pathway], spark: S
             open_ = F.col("not_refractory") if target in {e.name for e in group.equations.of("ode").values() if "unless refractory" in e.flags} else F.lit(True)
             state = state.join(now, "i", "left").withColumn(target, F.col(target) + F.when(open_, F.coalesce("_in", F.lit(0.0))).otherwise(0.0)).drop("_in")
         pending = pending.filter(F.col("due") > k)
-        changed = {s.target: F.when(F.col("_fired"), run(group.equations.resolved(s.full))).otherwise(F.col(s.target)) for s in lang.statements(group.reset or "")}
-        state = kept(state.withColumns(changed).drop("_fired"), f"{base}/{k}")
+        after = group._statements(group.resets(), dict(env), run, types, False)
+        changed = {c: F.when(F.col("_fired"), after[c]).otherwise(F.col(c)) for c in group.stored}
+        state = kept(state.withColumns(changed).select("i", *types), f"{base}/{k}")
     return Network._all(fired_all), state
 
 
-def _stepwise(group: Group, step, env: dict, t: Column, dt: float, k: int, types: dict) -> dict[str, Column]:
+def _stepwise(group: Group, step, env: dict, t: Column, dt: float, k: int, types: dict, more: dict) -> dict[str, Column]:
     env = dict(env)
 
     def run(tree):
-        return lang.column(tree, group.columns({**env, "t": t, "dt": F.lit(dt), "_tick": F.lit(k)}))
+        return lang.column(tree, group.columns({**env, **more, "t": t, "dt": F.lit(dt), "_tick": F.lit(k)}))
 
     return group._statements(step, env, run, types, True)
 

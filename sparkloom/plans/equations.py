@@ -116,13 +116,17 @@ class Equations:
             raise EquationError(f"views that need each other: {err.args[1]}") from err
 
     def resolved(self, tree: str | ast.expr) -> ast.expr:
-        """An expression with view columns put in."""
+        """An expression with view columns put in, but for those that hold a value of their own during a tick."""
         tree = lang.parse(tree)
         for e in reversed(self.ordered_views()):
-            if "summed" not in e.flags:
+            if not e.flags & {"summed", "constant over dt"}:
                 tree = lang.substitute(tree, {e.name: e.expr})
         return tree
 
+    def held(self) -> list[tuple[str, ast.expr]]:
+        """Views that are taken once a tick, before anything else (PRJ-3), in an order in which each finds the others."""
+        return [(e.name, self.resolved(e.expr)) for e in self.ordered_views() if "constant over dt" in e.flags]
+
     def rates(self) -> dict[str, ast.expr]:
         """The right sides of the evolving states, views put in; frozen ones are zero while refractory."""
         out = {}
@@ -135,7 +139,8 @@ class Equations:
         """Every equation's dimensions; all issues are named at once."""
         known = {k: e.dim for k, e in self.items.items()}
         second = U.UNITS["second"].dim
-        extra = {"t": second, "dt": second, "i": U.NONE, "j": U.NONE, "N": U.NONE, "lastspike": second, "not_refractory": U.NONE, "xi": U.power(second, -0.5)}
+        noise = {n: U.power(second, -0.5) for e in self.items.values() if e.expr is not None for n in lang.names(e.expr) if n.startswith("xi_")}
+        extra = noise | {"t": second, "dt": second, "i": U.NONE, "j": U.NONE, "N": U.NONE, "lastspike": second, "not_refractory": U.NONE, "xi": U.power(second, -0.5)}
         dims = {k: U.quantity(v).dim for k, v in namespace.items() if isinstance(v, (int, float, U.Quantity))}
         issues = []
         for e in self.items.values():

@@ -7,6 +7,7 @@ temporaries, then of the new states; whatever runs them, columns or arrays, is n
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -78,24 +79,33 @@ def linear_in(tree: ast.expr, variables: set[str]) -> tuple[dict[str, ast.expr],
     raise UnsupportedEquations(f"not linear: {ast.unparse(tree)}")
 
 
-def noise(rates: dict[str, ast.expr]) -> tuple[dict[str, ast.expr], dict[str, ast.expr]]:
-    """Right sides without noise, and the factor of ``xi`` in each."""
+def noises(tree: ast.expr) -> set[str]:
+    """Names of white noise in an expression: ``xi``, or ``xi_`` and a name; different names are independent."""
+    return {n for n in lang.names(tree) if n == "xi" or n.startswith("xi_")}
+
+
+def noise(rates: dict[str, ast.expr]) -> tuple[dict[str, ast.expr], dict[str, dict[str, ast.expr]]]:
+    """Right sides without noise, and in each the factor of every noise by the name of its draw over the step: ``_dW``
+    for ``xi``, ``_dW_a`` for ``xi_a``."""
     f, g = {}, {}
     for name, tree in rates.items():
-        if "xi" in lang.names(tree):
-            c, f[name] = linear_in(tree, {"xi"})
-            g[name] = c["xi"]
-        else:
-            f[name], g[name] = tree, ast.Constant(0)
+        found = noises(tree)
+        c, f[name] = linear_in(tree, found) if found else ({}, tree)
+        g[name] = {f"_dW{n[2:]}": c[n] for n in sorted(found)}
     return f, g
 
 
+def kick(factors: dict[str, ast.expr]) -> str:
+    """What the noise adds, as text."""
+    return " + ".join(f"{text(tree)} * {dw}" for dw, tree in factors.items()) or "0"
+
+
 def is_zero(tree: ast.expr) -> bool:
     return isinstance(tree, ast.Constant) and tree.value == 0
 
 
 def deterministic(rates: dict[str, ast.expr]) -> dict[str, ast.expr]:
-    if any("xi" in lang.names(t) for t in rates.values()):
+    if any(noises(t) for t in rates.values()):
         raise UnsupportedEquations("the method doesn't take noise")
     return rates
 
@@ -115,13 +125,13 @@ def finish(names) -> Step:
 
 def euler(rates: dict[str, ast.expr]) -> Step:
     f, g = noise(rates)
-    for x, tree in g.items():
-        if lang.names(tree) & rates.keys():
+    for x, factors in g.items():
+        if any(lang.names(tree) & rates.keys() for tree in factors.values()):
             raise UnsupportedEquations(f"noise of {x} depends on the states")
     out = []
     for x in rates:
-        dw = "" if is_zero(g[x]) else f" + {text(g[x])} * _dW"
-        out.append((f"_new_{x}", lang.parse(f"{x} + dt * {text(f[x])}{dw}")))
+        more = f" + {kick(g[x])}" if g[x] else ""
+        out.append((f"_new_{x}", lang.parse(f"{x} + dt * {text(f[x])}{more}")))
     return out + finish(rates)
 
 
@@ -154,25 +164,29 @@ def heun(rates: dict[str, ast.expr]) -> Step:
     f, g = noise(rates)
     out: Step = []
     for x in rates:
-        out.append((f"_p_{x}", lang.parse(f"{x} + dt * {text(f[x])} + {text(g[x])} * _dW")))
+        out.append((f"_p_{x}", lang.parse(f"{x} + dt * {text(f[x])} + {kick(g[x])}")))
     ahead = {x: f"_p_{x}" for x in rates}
     for x in rates:
-        f2, g2 = moved(f[x], ahead, "dt"), moved(g[x], ahead, "dt")
-        out.append((f"_new_{x}", lang.parse(f"{x} + dt * 0.5 * ({text(f[x])} + {text(f2)}) + 0.5 * ({text(g[x])} + {text(g2)}) * _dW")))
+        f2, g2 = moved(f[x], ahead, "dt"), {dw: moved(tree, ahead, "dt") for dw, tree in g[x].items()}
+        out.append((f"_new_{x}", lang.parse(f"{x} + dt * 0.5 * ({text(f[x])} + {text(f2)}) + 0.5 * ({kick(g[x])} + {kick(g2)})")))
     return out + finish(rates)
 
 
 def milstein(rates: dict[str, ast.expr]) -> Step:
-    """For noise that depends on its own state alone; the derivative of its factor is taken by a small difference
-    along the factor itself, which is exact for linear factors up to rounding."""
+    """For one noise a state that depends on this state alone; the derivative of its factor is taken by a small
+    difference along the factor itself, which is exact for linear factors up to rounding."""
     f, g = noise(rates)
     out: Step = []
     for x in rates:
-        if lang.names(g[x]) & rates.keys() - {x}:
-            raise UnsupportedEquations(f"noise of {x} depends on other states")
-        g_at = moved(g[x], {x: f"({x} + {text(g[x])} * dt ** 0.5)"})
-        correction = f"0.5 * ({text(g_at)} - {text(g[x])}) / dt ** 0.5 * (_dW ** 2 - dt)"
-        out.append((f"_new_{x}", lang.parse(f"{x} + dt * {text(f[x])} + {text(g[x])} * _dW" + ("" if is_zero(g[x]) else f" + {correction}"))))
+        if len(g[x]) > 1:
+            raise UnsupportedEquations(f"{x} has several noises")
+        more = ""
+        for dw, tree in g[x].items():
+            if lang.names(tree) & rates.keys() - {x}:
+                raise UnsupportedEquations(f"noise of {x} depends on other states")
+            shifted = moved(tree, {x: f"({x} + {text(tree)} * dt ** 0.5)"})
+            more = f" + {kick(g[x])} + 0.5 * ({text(shifted)} - {text(tree)}) / dt ** 0.5 * ({dw} ** 2 - dt)"
+        out.append((f"_new_{x}", lang.parse(f"{x} + dt * {text(f[x])}{more}")))
     return out + finish(rates)
 
 
@@ -232,6 +246,14 @@ def exact(rates: dict[str, ast.expr], namespace: dict | None = None, dt: float |
     return out + finish(rates)
 
 
+def independent(rates: dict[str, ast.expr]) -> Step:
+    """Exact, for states none of which depends on another one."""
+    for x, tree in rates.items():
+        if lang.names(tree) & rates.keys() - {x}:
+            raise UnsupportedEquations(f"{x} depends on other states")
+    return exact(rates)
+
+
 METHODS: dict[str, Callable[..., Step]] = {}
 
 
@@ -242,15 +264,51 @@ def register(name: str, method: Callable[..., Step]) -> None:
 
 
 for _name, _method in (
-    ("exact", exact), ("linear", exact), ("exponential_euler", exponential_euler), ("euler", euler), ("rk2", rk2),
+    ("exact", exact), ("linear", exact), ("independent", independent), ("exponential_euler", exponential_euler), ("euler", euler), ("rk2", rk2),
     ("rk4", rk4), ("heun", heun), ("milstein", milstein),
 ):
     register(_name, _method)
 
 
-def explicit(description: dict[str, list[tuple[float, list[float]]] | list[float]]) -> Callable[..., Step]:
-    """A user's own explicit scheme, from ``stages`` and ``weights``."""
-    return runge_kutta(description["stages"], description["weights"])
+def explicit(description: str) -> Callable[..., Step]:
+    """A user's own explicit scheme (INT-9): lines ``name = expression`` of x, t, dt, dW, f(x, t), g(x, t) and names
+    before, and last ``x_new = ...``, for all states alike. g is the factor of the noise; schemes that have dW take
+    one noise a state."""
+    lines = lang.statements(re.sub(r"[ \t]*\n[ \t]*", "\n", description.strip()), calls=("f", "g"))
+    if not lines or lines[-1].target != "x_new":
+        raise ValueError("the last line must give x_new")
+
+    def method(rates: dict[str, ast.expr]) -> Step:
+        fs, gs = noise(rates)
+        if any(len(x) > 1 for x in gs.values()):
+            raise UnsupportedEquations("several noises")
+        if any(gs.values()) and "dW" not in lang.names(lines[-1].value):
+            raise UnsupportedEquations("the scheme doesn't take noise")
+        out: Step = []
+
+        def put(tree: ast.expr, x: str) -> ast.expr:
+            class Put(ast.NodeTransformer):
+                def visit_Call(self, node: ast.Call) -> ast.AST:
+                    if node.func.id not in ("f", "g"):
+                        return self.generic_visit(node)
+                    at, time = node.args
+                    own = fs[x] if node.func.id == "f" else next(iter(gs[x].values()), ast.Constant(0))
+                    by = {y: put(at, y) for y in rates} | {"t": put(time, x)}
+                    return lang.substitute(own, by)
+
+                def visit_Name(self, node: ast.Name) -> ast.AST:
+                    known = {"x": x, "dW": next(iter(gs[x]), "_dW")}
+                    return ast.Name(known.get(node.id, f"_{node.id}_{x}" if node.id in names else node.id), ast.Load())
+
+            return Put().visit(ast.parse(ast.unparse(tree), mode="eval").body)
+
+        names: set[str] = set()
+        for line in lines:
+            out += [(f"_new_{x}" if line.target == "x_new" else f"_{line.target}_{x}", put(line.value, x)) for x in rates]
+            names.add(line.target)
+        return out + finish(rates)
+
+    return method
 
 
 def step(eqs: Equations, method: str | tuple[str, ...] = ("exact", "euler", "heun"), namespace: dict | None = None, dt: float | None = None) -> tuple[str, Step]:
@@ -258,9 +316,13 @@ def step(eqs: Equations, method: str | tuple[str, ...] = ("exact", "euler", "heu
     rates, refused = eqs.rates(), []
     if not rates:
         return "none", []
+    drawn = {x for x, tree in rates.items() if lang.draws(tree)}
     for name in (method,) if isinstance(method, str) else method:
         if name not in METHODS:
             raise ValueError(f"unknown method {name!r}; known: {sorted(METHODS)}")
+        if drawn and name != "euler":
+            refused.append(f"{name}: takes right sides more than once, and those of {sorted(drawn)} draw")
+            continue
         try:
             own = METHODS[name]
             return name, own(rates, namespace, dt) if own is exact else own(rates)
