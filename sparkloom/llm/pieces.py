@@ -115,11 +115,10 @@ class Codec:
         self.start = size + len(bare)
         parts = ids | {c: size + k for k, c in enumerate(bare)}
         self.width = [max(1, len(x)) for x in self.texts]
-        self.none = -float("inf")
         self.gain = [self.score.get(x, self.worst) for x in self.texts]
         self.automaton = ahocorasick.Automaton()
         for piece, part in parts.items():
-            self.automaton.add_word(piece, (len(piece), part))
+            self.automaton.add_word(piece, (len(piece) - 1, self.gain[part], part))
         self.automaton.make_automaton()
         self.bytes = {int(model.pieces[k][3:5], 16): k for k, kind in enumerate(model.kinds) if kind == BYTE}
         self.unknown = next((k for k, kind in enumerate(model.kinds) if kind == UNKNOWN), 0)
@@ -146,9 +145,9 @@ class Codec:
         after = {b for p in pieces for a, b in zip(p, p[1:], strict=False) if a.isalpha()}
         letters = one_of(c for c in self.known if c.isalpha())
         marks = one_of(c for c in self.known if not c.isalpha() and c not in after and c != SPACE)
-        word = f"{SPACE}*[{letters}]+(?=[{marks}])|" if letters and marks else ""
         rest = one_of(self.known - {SPACE}) or "^\\s\\S"
-        return re.compile(f"[^{known}{SPACE}]+|{word}{SPACE}+[{rest}]*|[{rest}]+|{SPACE}+")
+        word = f"{SPACE}*[{letters}]++(?:(?=[{marks}])|[{rest}]*)|" if letters and marks else ""
+        return re.compile(f"{word}{SPACE}+[{rest}]*|[{rest}]+|[^{known}{SPACE}]+")
 
     @staticmethod
     def _surface(piece: str, kind: int) -> bytes:
@@ -214,20 +213,21 @@ class Codec:
         """For each position the last part of the text's BPE encoding up to there (left alone for a unigram model) and
         that of the best-scored way to get there; then the score of the whole. Every character is in some piece, so
         every position is reached."""
-        n = len(text) + 1
-        size, stable, bpe, gain = len(self.texts), self.stable, self.model.bpe, self.gain
-        part, best, total = [0] * n, [0] * n, [self.none] * n
-        part[0], total[0] = self.start, 0.0
-        for last, (width, own) in self.automaton.iter(text):
-            end = last + 1
-            begin = end - width
-            reached = total[begin] + gain[own]
-            if reached > total[end]:
-                total[end] = reached
-                best[end] = own
-            if bpe and not part[end] and stable[part[begin] * size + own]:
-                part[end] = own
-        return part, best, total[-1]
+        size, stable, none, other = len(self.texts), self.stable, -float("inf"), not self.model.bpe
+        part, best, total = [self.start], [0], [0.0]
+        now, top, arg, found = 0, none, 0, other
+        for last, (back, gain, own) in self.automaton.iter(text):
+            if last != now:  # all pieces that end at a position come together
+                part.append(found)
+                best.append(arg)
+                total.append(top)
+                now, top, found = last, none, other
+            reached = total[last - back] + gain
+            if reached > top:
+                top, arg = reached, own
+            if not found and stable[part[last - back] * size + own]:
+                found = own
+        return [*part, found], [*best, arg], top
 
     def path(self, unit: str, part: list[int]) -> list[int]:
         """The ids along the last parts, from the end back; a character that is no piece is its bytes."""
