@@ -12,7 +12,7 @@ Names in a synapse's code are its own columns, then ``x_pre`` and ``x_post`` of
 target. Statements run one after the other over all edges concerned; ``+=``, ``-=`` and ``*=`` on an end's column take
 every edge, ``=`` the last edge's value. Event-driven equations are advanced from the edge's last event.
 
-Defined results: edges whose ends do not exist, columns that nobody defines and unknown groups are errors, as are
+Defined results: rows of an object with the same number, edges whose ends do not exist, columns that nobody defines and unknown groups are errors, as are
 delays below zero; a null value counts as 0; a run without nodes gives nothing; other runs don't matter to a run.
 """
 
@@ -134,6 +134,8 @@ class Rows:
 
     def __init__(self, name: str, kinds: dict[str, str], ids: np.ndarray, values: list[dict]):
         self.name, self.ids, self.kinds = name, ids, kinds
+        if len(np.unique(ids)) < len(ids):
+            raise ValueError(f"two rows of {name} have the same number")
         types = {"double": float, "int": np.int32, "boolean": bool}
         for row in values:
             if unknown := row.keys() - kinds.keys() - {"lastspike"}:

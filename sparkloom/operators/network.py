@@ -17,7 +17,6 @@ import json
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,6 +27,7 @@ from pyspark.sql import functions as F
 from ..functions import lang, rng
 from .delivery import delay_ticks
 from .group import NEVER, Group
+from .monitors import append, read
 
 
 def folder(spark: SparkSession) -> str:
@@ -190,8 +190,8 @@ class Network:
         self.tick = 0
         self.state: DataFrame | None = None
         self.pending: DataFrame | None = None
-        self.events: list[DataFrame] = []
-        self.traces: list[DataFrame] = []
+        self.base: str | None = None
+        self.spark: SparkSession | None = None
 
     def explain(self, dt: float) -> str:
         """Which way a run takes, the method, and the order of a tick."""
@@ -232,14 +232,16 @@ class Network:
         return out
 
     def run(self, spark: SparkSession, duration: float, dt: float, record: tuple[str, ...] = ()) -> Network:
-        """Run on from where the last run ended (STR-5, STR-12). Results add up in ``events`` and ``traces``."""
+        """Run on from where the last run ended (STR-5, STR-12). Events and recorded values are parts of
+        one table each in the shared folder, a part a round, so that reading them costs the same after any number."""
         ticks = int(duration / dt + 0.5)
         window = self._shortest(dt)
         if window < 1:
             raise ValueError("a delay shorter than half a step: give it at least one step, or run `relational` or an `Assembly`")
         shards = self.shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
         kernel = Kernel.of(self.group, dt, record)
-        base = f"{folder(spark)}/network-{uuid.uuid4().hex}"
+        self.base, self.spark = self.base or f"{folder(spark)}/network-{uuid.uuid4().hex}", spark
+        base = f"{self.base}/rounds"
         state = self.state if self.state is not None else self.group.table(spark)
         pending = self.pending if self.pending is not None else spark.createDataFrame([], PENDING)
         if self.inputs is not None and self.tick == 0:
@@ -258,9 +260,9 @@ class Network:
             out = kept(grouped.cogroup(here.groupBy("shard")).applyInPandas(advancing(kernel, first, size, names), spec), f"{base}/{first}")
             state = out.filter("kind = 0").select(columns)
             events = out.filter("kind = 1").select("tick", "i")
-            self.events.append(events)
+            append(events, f"{self.base}/events", first)
             if record:
-                self.traces.append(out.filter("kind = 2").select("tick", "i", *record))
+                append(out.filter("kind = 2").select("tick", "i", *record), f"{self.base}/traces", first)
             rest = pending.filter(F.col("due") >= first + size)
             if self.pathways:
                 rest = rest.unionByName(self._fanned(events, dt))
@@ -270,17 +272,10 @@ class Network:
         return self
 
     def spikes(self) -> DataFrame:
-        return self._all(self.events)
+        return read(self.spark, f"{self.base}/events").drop("chunk")
 
     def recorded(self) -> DataFrame:
-        return self._all(self.traces)
-
-    @staticmethod
-    def _all(parts: list[DataFrame]) -> DataFrame:
-        out = parts[0]
-        for x in parts[1:]:
-            out = out.unionByName(x)
-        return out
+        return read(self.spark, f"{self.base}/traces").drop("chunk")
 
     # --- checkpoints ------------------------------------------------------------------------------------------
 
@@ -351,7 +346,10 @@ def relational(group: Group, edges: DataFrame, pathways: list[Pathway], spark: S
         after = group._statements(group.resets(), dict(env), run, types, False)
         changed = {c: F.when(F.col("_fired"), after[c]).otherwise(F.col(c)) for c in group.stored}
         state = kept(state.withColumns(changed).select("i", *types), f"{base}/{k}")
-    return Network._all(fired_all), state
+    out = fired_all[0]
+    for x in fired_all[1:]:
+        out = out.unionByName(x)
+    return out, state
 
 
 def _stepwise(group: Group, step, env: dict, t: Column, dt: float, k: int, types: dict, more: dict) -> dict[str, Column]:
@@ -391,9 +389,4 @@ def stdp(events_pre: DataFrame, events_post: DataFrame, edges: DataFrame, tau_pr
     return done.select("seq", "i", "j", new.alias("w"))
 
 
-def chunks(parts: list[DataFrame]) -> Iterator[DataFrame]:
-    """A run's results, round by round (SNK-9)."""
-    yield from parts
-
-
 __all__ = ["NEVER", "Kernel", "Network", "Pathway", "relational", "stdp"]

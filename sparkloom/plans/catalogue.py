@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import lang, rng
+from ..functions import lang, reductions, rng
 from ..operators import delivery as D
 from ..operators import edges as E
 from ..operators import rates as R
@@ -80,7 +80,36 @@ def _(spark, sf_dir):
     return g.table(spark).select("i", "v", "kind")
 
 
-@query("src_2_poisson_events")
+def draw_sql(relation: str, seed: int, name: str, keys: list[str], out: str) -> str:
+    """The relation with a uniform draw by its key columns, in DuckDB's SQL: the hash, step by step, on integers of 128
+    bits that are cut to 64."""
+    a, b, c, d, e = (f"{x}::UHUGEINT" for x in rng.PRIMES)
+    most = f"{1 << 64}::UHUGEINT"
+    times = lambda x, y: f"(({x}) * {y} % {most})"
+    turn = lambda x, n: f"((({x}) * {1 << n}::UHUGEINT) % {most} + ({x}) // {1 << (64 - n)}::UHUGEINT)"
+    mixed = lambda x, n: f"xor(({x})::UBIGINT, (({x}) // {1 << n}::UHUGEINT)::UBIGINT)::UHUGEINT"
+    sql = f"SELECT *, {rng.prefix(seed, name)}::UHUGEINT AS _h FROM {relation}"
+    for key in keys:
+        sql = f"SELECT *, {times(f'({key})::UHUGEINT', b)} AS _k FROM ({sql})"
+        sql = f"SELECT * REPLACE ({times(turn('_k', 31), a)} AS _k, (_h + {e} + 8::UHUGEINT) % {most} AS _h) FROM ({sql})"
+        sql = f"SELECT * EXCLUDE (_k) REPLACE (xor(_h::UBIGINT, _k::UBIGINT)::UHUGEINT AS _h) FROM ({sql})"
+        sql = f"SELECT * REPLACE (({times(turn('_h', 27), a)} + {d}) % {most} AS _h) FROM ({sql})"
+        sql = f"SELECT * REPLACE ({times(mixed('_h', 33), b)} AS _h) FROM ({sql})"
+        sql = f"SELECT * REPLACE ({times(mixed('_h', 29), c)} AS _h) FROM ({sql})"
+        sql = f"SELECT * REPLACE ({mixed('_h', 32)} AS _h) FROM ({sql})"
+    return f"(SELECT * EXCLUDE (_h), (_h // 2048::UHUGEINT)::DOUBLE * {rng.SCALE!r}::DOUBLE AS {out} FROM ({sql}))"
+
+
+def chosen_sql(owners: str, n: int, k: int, seed: int) -> str:
+    """``(id, x)``: for each id the first k different ones of repeated draws below n."""
+    draws = draw_sql(f"(SELECT id, r FROM {owners} CROSS JOIN range({4 * k + 33}) q(r))", seed, "choose", ["id", "r"], "u")
+    first = f"SELECT id, CAST(floor(u * {n}) AS BIGINT) AS x, min(r) AS r FROM {draws} GROUP BY ALL"
+    return f"(SELECT id, x FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY r) AS place FROM ({first})) WHERE place <= {k})"
+
+
+@query("src_2_poisson_events", f"""
+    SELECT tick, i FROM {draw_sql("(SELECT k % 100 AS i, k // 100 AS tick FROM range(100000) r(k))", 42, "poisson", ["tick", "i"], "u")}
+    WHERE u < 20.0::DOUBLE * 1e-3::DOUBLE""")
 def _(spark, sf_dir):
     return T.poisson_events(spark, 100, 1000, 20.0, 1e-3, 42)
 
@@ -98,7 +127,10 @@ def _(spark, sf_dir):
     return T.replay_issues(stream(spark, sf_dir).select("i", "t"), 1 << 40, 1.0)
 
 
-@query("src_5_poisson_input")
+BELOW = " + ".join(f"(u >= {x!r}::DOUBLE)::INTEGER" for x in rng.cumulated(0.98**100, lambda k: (101 - k) / k * 0.02 / 0.98 if k <= 100 else 0.0))
+
+
+@query("src_5_poisson_input", f"SELECT tick, i, ({BELOW}) * 0.5::DOUBLE AS value FROM {draw_sql(f'(SELECT tick, i FROM {EV} e)', 7, 'input', ['tick', 'i'], 'u')}")
 def _(spark, sf_dir):
     return T.poisson_input(stream(spark, sf_dir).select("tick", "i"), 100, 2.0, 0.5, 1e-2, 7)
 
@@ -127,12 +159,14 @@ def _(spark, sf_dir):
     return T.edge_list(pairs, F.col("n")).select("i", "j", F.col("k").cast("bigint").alias("k"))
 
 
-@query("src_10_fixed_total_edges")
+@query("src_10_fixed_total_edges", f"""
+    SELECT syn, CAST(floor(u * 200) AS BIGINT) AS i, CAST(floor(v * 300) AS BIGINT) AS j
+    FROM {draw_sql(draw_sql("(SELECT k AS syn FROM range(10000) r(k))", 5, "i", ["syn"], "u"), 5, "j", ["syn"], "v")}""")
 def _(spark, sf_dir):
     return T.fixed_total_edges(spark, 10_000, 200, 300, 5)
 
 
-@query("src_11_fixed_indegree_edges")
+@query("src_11_fixed_indegree_edges", f"SELECT x AS i, id AS j FROM {chosen_sql('(SELECT k AS id FROM range(300) r(k))', 200, 10, 5)}")
 def _(spark, sf_dir):
     return T.fixed_indegree_edges(spark, 10, 200, 300, 5)
 
@@ -197,10 +231,16 @@ def _(spark, sf_dir):
     )
 
 
-@query("fn_13_uniform_draws")
+def normal_sql(relation: str, seed: int, name: str, keys: list[str]) -> str:
+    return draw_sql(draw_sql(relation, seed, f"{name}/r", keys, "_r"), seed, f"{name}/a", keys, "_a")
+
+
+@query("fn_13_uniform_draws", f"""
+    SELECT event_id, u, round(sqrt(-2 * ln(1 - _r)) * cos(2 * pi() * _a), 9) AS z
+    FROM {normal_sql(draw_sql("(SELECT event_id FROM events)", 1, "u", ["event_id"], "u"), 1, "n", ["event_id"])}""")
 def _(spark, sf_dir):
     rows = stream(spark, sf_dir)
-    return rows.select("event_id", rng.uniform(1, "u", F.col("event_id")).alias("u"), rng.normal(1, "n", F.col("event_id")).alias("z"))
+    return rows.select("event_id", rng.uniform(1, "u", F.col("event_id")).alias("u"), F.round(rng.normal(1, "n", F.col("event_id")), 9).alias("z"))
 
 
 @query("flt_1_threshold_events", f"SELECT tick, 'spike' AS event, i FROM {EV} e WHERE value > 40")
@@ -263,7 +303,7 @@ def _(spark, sf_dir):
     return E.connect_range(n, F.col("i") - 3, F.col("i") + 4, 2, 100, F.col("j") != F.col("i"))
 
 
-@query("join_4_connect_sample")
+@query("join_4_connect_sample", f"SELECT id AS i, x AS j FROM {chosen_sql('(SELECT s_suppkey AS id FROM supplier)', 500, 5, 3)}")
 def _(spark, sf_dir):
     return E.connect_sample(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i")), 500, 5, 3)
 
@@ -384,20 +424,29 @@ def _(spark, sf_dir):
     return R.trains(stream(spark, sf_dir), "event_id").select("i", F.array_join("values", ",").alias("train"))
 
 
+def last(spark, sf_dir, width: int) -> int:
+    """The bin, of so many seconds, of the table's last event; one number on the driver."""
+    return stream(spark, sf_dir).agg(F.floor(F.max("tick") / width).alias("last")).first()["last"]
+
+
+DAYS = f"(SELECT unnest(range(0, (SELECT max(tick) // 86400 + 1 FROM {EV} m))) AS bin)"
+
+
 @query("agg_9_binned_rate", f"""
-    SELECT u.i, b.bin, coalesce(n, 0) / 86400.0::DOUBLE AS rate FROM {USERS} u CROSS JOIN range(30) b(bin)
+    SELECT u.i, b.bin, coalesce(n, 0) / 86400.0::DOUBLE AS rate FROM {USERS} u CROSS JOIN {DAYS} b
     LEFT JOIN (SELECT i, tick // 86400 AS bin, count(*) AS n FROM {EV} e GROUP BY ALL) c ON c.i = u.i AND c.bin = b.bin""")
 def _(spark, sf_dir):
-    return R.binned_rate(stream(spark, sf_dir), users(spark, sf_dir), 30, 86400, 1.0)
+    return R.binned_rate(stream(spark, sf_dir), users(spark, sf_dir), last(spark, sf_dir, 86400) + 1, 86400, 1.0)
 
 
 def hourly(spark, sf_dir):
-    """The population's rate in ticks of one hour."""
+    """The population's rate in ticks of one hour, of as many nodes and hours as the table has."""
     events = stream(spark, sf_dir).withColumn("tick", F.floor(F.col("tick") / 3600))
-    return R.population_rate(spark, events, 150, 0, 30 * 24 + 5, 3600.0)
+    return R.population_rate(spark, events, users(spark, sf_dir).count(), 0, last(spark, sf_dir, 3600) + 1, 3600.0)
 
 
-HOURLY = f"""(SELECT h AS tick, coalesce(n, 0) / 540000.0::DOUBLE AS rate FROM range(725) r(h)
+HOURLY = f"""(SELECT h AS tick, coalesce(n, 0) / (3600.0::DOUBLE * (SELECT count(*) FROM {USERS} u)) AS rate
+    FROM (SELECT unnest(range(0, (SELECT max(tick) // 3600 + 1 FROM {EV} m))) AS h)
     LEFT JOIN (SELECT tick // 3600 AS k, count(*) AS n FROM {EV} e GROUP BY 1) ON k = h)"""
 
 
@@ -430,14 +479,14 @@ def _(spark, sf_dir):
 
 
 @query("agg_13_mean_correlation", f"""
-    WITH c AS (SELECT u.i, b.bin, coalesce(n, 0)::DOUBLE AS n FROM {USERS} u CROSS JOIN range(30) b(bin)
+    WITH c AS (SELECT u.i, b.bin, coalesce(n, 0)::DOUBLE AS n FROM {USERS} u CROSS JOIN {DAYS} b
         LEFT JOIN (SELECT i, tick // 86400 AS bin, count(*) AS n FROM {EV} e GROUP BY ALL) k ON k.i = u.i AND k.bin = b.bin),
-    z AS (SELECT bin, (n - avg(n) OVER w) / sqrt(var_pop(n) OVER w * 30) AS z FROM c WINDOW w AS (PARTITION BY i)),
+    z AS (SELECT bin, (n - avg(n) OVER w) / sqrt(var_pop(n) OVER w * count(*) OVER w) AS z FROM c WINDOW w AS (PARTITION BY i)),
     s AS (SELECT sum(z) AS s FROM z GROUP BY bin), m AS (SELECT count(DISTINCT i) AS nodes FROM c)
     SELECT round((sum(s * s) - nodes) / (nodes * (nodes - 1)), 9) AS correlation, nodes FROM s, m GROUP BY nodes""")
 def _(spark, sf_dir):
     nodes = users(spark, sf_dir)
-    binned = R.binned_rate(stream(spark, sf_dir), nodes, 30, 86400, 1 / 86400).withColumnRenamed("rate", "n")
+    binned = R.binned_rate(stream(spark, sf_dir), nodes, last(spark, sf_dir, 86400) + 1, 86400, 1 / 86400).withColumnRenamed("rate", "n")
     return R.mean_correlation(binned).select(F.round("correlation", 9).alias("correlation"), "nodes")
 
 
@@ -450,7 +499,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
         F.round(F.sum("l_tax"), 6).alias("s"), F.round(F.avg("l_quantity"), 6).alias("a"), F.min("l_discount").alias("lo"),
-        F.max("l_discount").alias("hi"), (F.max("l_quantity") - F.min("l_quantity")).alias("ptp"),
+        F.max("l_discount").alias("hi"), reductions.ptp(F.col("l_quantity")).alias("ptp"),
         F.round(F.stddev_pop("l_quantity"), 6).alias("sd"), F.round(F.var_pop("l_quantity"), 6).alias("var"),
     )
 
@@ -505,10 +554,7 @@ def _(spark, sf_dir):
 
 @query("win_10_cumulative", f"SELECT event_id, count(*) OVER (PARTITION BY i ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS n FROM {EV} e")
 def _(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("i").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return stream(spark, sf_dir).select("event_id", F.count("*").over(w).alias("n"))
+    return stream(spark, sf_dir).select("event_id", reductions.running_count(["t", "event_id"], ("i",)).alias("n"))
 
 
 @query("win_11_observation_window", f"SELECT event_id FROM {EV} e WHERE tick >= 86400 AND tick < 172800")
@@ -644,10 +690,8 @@ def _(spark, sf_dir):
 
 @query("sort_1_event_order", f"SELECT event_id, row_number() OVER (PARTITION BY tick // 86400 ORDER BY t, i, event_id) AS place FROM {EV} e")
 def _(spark, sf_dir):
-    from pyspark.sql import Window
-
-    day = Window.partitionBy(F.floor(F.col("tick") / 86400)).orderBy("t", "i", "event_id")
-    return stream(spark, sf_dir).select("event_id", F.row_number().over(day).cast("bigint").alias("place"))
+    rows = stream(spark, sf_dir).withColumn("day", F.floor(F.col("tick") / 86400))
+    return reductions.argsort(rows, ["t", "i", "event_id"], ("day",)).select("event_id", "place")
 
 
 @query("lim_1_bounded_sample", "SELECT c_custkey AS i FROM (SELECT *, md5(CAST(c_custkey AS VARCHAR)) AS h FROM customer) ORDER BY h LIMIT 200")
@@ -667,12 +711,12 @@ def _(spark, sf_dir):
 
 
 @query("win_6_smooth_per_cell", f"""
-    WITH d AS (SELECT u.i, b.tick, coalesce(n, 0)::DOUBLE / 86400.0::DOUBLE AS rate FROM {USERS} u CROSS JOIN range(30) b(tick)
-        LEFT JOIN (SELECT i, tick // 86400 AS k, count(*) AS n FROM {EV} e GROUP BY ALL) c ON c.i = u.i AND c.k = b.tick)
+    WITH d AS (SELECT u.i, b.bin AS tick, coalesce(n, 0)::DOUBLE / 86400.0::DOUBLE AS rate FROM {USERS} u CROSS JOIN {DAYS} b
+        LEFT JOIN (SELECT i, tick // 86400 AS k, count(*) AS n FROM {EV} e GROUP BY ALL) c ON c.i = u.i AND c.k = b.bin)
     SELECT i, tick, round(0.25 * coalesce(lag(rate) OVER w, 0) + 0.5 * rate + 0.25 * coalesce(lead(rate) OVER w, 0), 12) AS smooth
     FROM d WINDOW w AS (PARTITION BY i ORDER BY tick)""")
 def _(spark, sf_dir):
-    binned = R.binned_rate(stream(spark, sf_dir), users(spark, sf_dir), 30, 86400, 1.0).withColumnRenamed("bin", "tick")
+    binned = R.binned_rate(stream(spark, sf_dir), users(spark, sf_dir), last(spark, sf_dir, 86400) + 1, 86400, 1.0).withColumnRenamed("bin", "tick")
     return R.smooth(binned, [1.0, 2.0, 1.0], by=("i",)).select("i", "tick", F.round("smooth", 12).alias("smooth"))
 
 
@@ -793,6 +837,9 @@ def _(spark, sf_dir):
     return Network(g, edges, [Pathway("v", "w", 5e-3)], shards=4).run(spark, 0.02, 1e-3).spikes()
 
 
+from . import networks  # noqa: E402, F401  registers its queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
