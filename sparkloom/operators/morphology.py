@@ -77,7 +77,7 @@ def solve_tree(parent: np.ndarray, diagonal: np.ndarray, coupling: np.ndarray, r
 
 def cable(parts: DataFrame, steps: int, dt: float, capacity: float, resistivity: float, leak: float) -> DataFrame:
     """Voltages of many neurons ``(neuron, i, parent, length, area, diameter, v, current)`` after some implicit steps;
-    each neuron is one group, solved on its own."""
+    each neuron is one group, solved on its own. A compartment without area or neighbours keeps its voltage."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("i").reset_index(drop=True)
@@ -90,8 +90,10 @@ def cable(parts: DataFrame, steps: int, dt: float, capacity: float, resistivity:
         np.add.at(total, np.maximum(parent, 0), np.where(parent >= 0, axial, 0.0))
         v, current = rows["v"].to_numpy(float), rows["current"].to_numpy(float)
         diagonal = capacity * area / dt + leak * area + total
+        lone = diagonal == 0
         for _ in range(steps):
-            v = solve_tree(np.maximum(parent, 0), diagonal, -axial, capacity * area / dt * v + current)
+            right = np.where(lone, v, capacity * area / dt * v + current)
+            v = solve_tree(np.maximum(parent, 0), np.where(lone, 1.0, diagonal), -axial, right)
         return pd.DataFrame({"neuron": rows["neuron"], "i": rows["i"], "v": v})
 
     return parts.groupBy("neuron").applyInPandas(run, "neuron long, i long, v double")
