@@ -244,7 +244,10 @@ class Live:
         constants = {k: float(v) for k, v in Group(1, "").constants().items()}
         driven = integrators.exact(events, constants) if events else []
         clocked = Equations({k: e for k, e in s.equations.items.items() if k not in events})
-        return driven, integrators.step(clocked, s.method, s.namespace, self.dt)[1] if clocked.of("ode") else []
+        method, step = integrators.step(clocked, s.method, s.namespace, self.dt) if clocked.of("ode") else ("none", [])
+        if method in integrators.ADAPTIVE:
+            raise integrators.UnsupportedEquations(f"{method} is for groups, not for synapses")
+        return driven, step
 
     # --- names ------------------------------------------------------------------------------------------------
 
@@ -358,7 +361,7 @@ class Live:
                 rows.ready = gone >= ((np.asarray(held, float) + 1e-3 * self.dt) / self.dt).astype(np.int64)
             env["not_refractory"] = rows.ready
         if self.plan.active is None or g.name in self.plan.active:
-            kernel._apply(kernel.step, env, rows.state, np.ones(len(rows), bool), rows.ready)
+            kernel.integrate(env, rows.state, rows.ready)
 
     def fire(self, g: Group, k: int) -> None:
         rows = self.rows[g.name]

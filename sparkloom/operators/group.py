@@ -136,7 +136,11 @@ class Group:
 
         Each row gives its final columns, ``spikes`` (ticks at which it fired) and ``trace``: what ``record`` names,
         taken at the start of each ``every``-th tick (SNK-1, SNK-3)."""
-        _, step = self.plan(dt)
+        method, step = self.plan(dt)
+        if method in integrators.ADAPTIVE:
+            from .network import folded
+
+            return folded(self, df, ticks, dt, record, every, first)
         noises, held, resets = self.noises(step), self.held(), self.resets()
         threshold = self.code(self.threshold, "threshold") if self.threshold else None
         kept = [*self.stored, "lastspike", "not_refractory"]

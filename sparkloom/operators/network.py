@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lang, rng
+from ..plans import integrators
 from .delivery import delay_ticks
 from .group import NEVER, Group
 from .monitors import append, read
@@ -75,11 +76,12 @@ class Kernel:
     record: tuple[str, ...] = ()
     views: dict[str, str] = field(default_factory=dict)
     held: list[tuple[str, str]] = field(default_factory=list)
+    method: str = ""
 
     @classmethod
     def of(cls, group: Group, dt: float, record: tuple[str, ...] = ()) -> Kernel:
         text = ast.unparse
-        _, step = group.plan(dt)
+        method, step = group.plan(dt)
         tree = group.code(str(group.refractory), "refractory") if group.refractory is not None else None
         lines = lambda code: [(k, text(v)) for k, v in code]
         return cls(
@@ -88,7 +90,7 @@ class Kernel:
             text(tree) if tree is not None else None,
             tree is not None and any(isinstance(x, (ast.Compare, ast.BoolOp)) for x in ast.walk(tree)),
             frozenset(e.name for e in group.equations.of("ode").values() if "unless refractory" in e.flags),
-            group.n, dt, group.seed, group.name, record, {r: text(group.code(r, f"show{r}")) for r in record}, lines(group.held()),
+            group.n, dt, group.seed, group.name, record, {r: text(group.code(r, f"show{r}")) for r in record}, lines(group.held()), method,
         )
 
     def draws(self, tick: int, ids: np.ndarray) -> dict:
@@ -133,7 +135,7 @@ class Kernel:
                     gone = ((t - last + 1e-3 * self.dt) / self.dt).astype(np.int64)
                     ready = gone >= ((np.asarray(held, float) + 1e-3 * self.dt) / self.dt).astype(np.int64)
             env["not_refractory"] = ready
-            self._apply(self.step, env, state, np.ones(len(ids), bool), ready)
+            self.integrate(env, state, ready)
             if self.threshold is not None:
                 fired = np.broadcast_to(lang.array(self.threshold, {**env, **state}), ids.shape) & ready
                 where = np.flatnonzero(fired)
@@ -154,6 +156,22 @@ class Kernel:
         out = pd.DataFrame({"i": ids, **state, "lastspike": last, "not_refractory": ready})
         return out, events, traces, ids
 
+    def integrate(self, env: dict, state: dict, ready: np.ndarray) -> None:
+        """One step of all rows. An adaptive method takes each row's substeps; frozen columns then have no rate."""
+        if self.method not in integrators.ADAPTIVE:
+            return self._apply(self.step, env, state, np.ones(len(ready), bool), ready)
+        names = [target.removeprefix("_rate_") for target, _ in self.step]
+
+        def rates(x: np.ndarray, t: np.ndarray, at: np.ndarray) -> np.ndarray:
+            of = {k: v[at] if isinstance(v, np.ndarray) and v.shape == ready.shape else v for k, v in env.items()}
+            of |= dict(zip(names, x, strict=True)) | {"t": t}
+            found = [np.broadcast_to(lang.array(tree, of), at.shape).astype(float) for _, tree in self.step]
+            return np.stack([np.where(ready[at], f, 0.0) if name in self.frozen else f for name, f in zip(names, found, strict=True)])
+
+        start = np.stack([state[x].astype(float) for x in names])
+        for x, value in zip(names, integrators.adaptive(rates, start, env["t"], self.dt, scheme=integrators.ADAPTIVE[self.method]), strict=True):
+            state[x] = env[x] = value
+
     def _apply(self, step, env: dict, state: dict, where: np.ndarray, ready: np.ndarray) -> None:
         for target, tree in step:
             value = lang.array(tree, env)
@@ -164,6 +182,30 @@ class Kernel:
             env[target] = value
 
 
+def folded(group: Group, df: DataFrame, ticks: int, dt: float, record: tuple[str, ...], every: int, first: int) -> DataFrame:
+    """``Group.fold`` in kernels, a batch of rows at a time, for methods that columns can't express."""
+    kernel = Kernel.of(group, dt, record)
+    shown = "".join(f"{r}: double, " for r in record)
+    types = {"i": "bigint", **group.stored, "lastspike": "double", "not_refractory": "boolean", "spikes": "array<bigint>", "trace": f"array<struct<{shown}tick: bigint>>"}
+    nothing = pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("due", "int64"), ("j", "int64"), ("target", str), ("value", float), ("seq", "int64"), ("src", "int64"))})
+
+    def advance(parts):
+        for rows in parts:
+            out, events, traces, ids = kernel.run(rows, nothing, first, ticks)
+            place = {i: k for k, i in enumerate(ids.tolist())}
+            fired, seen = [[] for _ in place], [[] for _ in place]
+            for tick, who in events:
+                for i in who.tolist():
+                    fired[place[i]].append(tick)
+            for tick, values in traces:
+                if tick % every == 0:
+                    for k in range(len(seen)):
+                        seen[k].append({**{r: float(values[r][k]) for r in record}, "tick": tick})
+            yield out.assign(spikes=fired, trace=seen)[list(types)]
+
+    return df.select("i", *group.stored, "lastspike", "not_refractory").mapInPandas(advance, ", ".join(f"`{c}` {t}" for c, t in types.items()))
+
+
 def advancing(kernel: Kernel, first: int, ticks: int, names: list[str]):
     """A round of one shard: rows after it (kind 0), its events (1) and recorded values (2)."""
 
@@ -316,7 +358,9 @@ def relational(group: Group, edges: DataFrame, pathways: list[Pathway], spark: S
     base = f"{folder(spark)}/relational-{uuid.uuid4().hex}"
     net = Network(group, edges, pathways)
     state, pending, fired_all = group.table(spark), spark.createDataFrame([], PENDING), []
-    _, step = group.plan(dt)
+    method, step = group.plan(dt)
+    if method in integrators.ADAPTIVE:
+        raise integrators.UnsupportedEquations(f"{method} runs in kernels only")
     types = group.stored | {"lastspike": "double", "not_refractory": "boolean"}
     for k in range(ticks):
         env = {c: F.col(c) for c in types}

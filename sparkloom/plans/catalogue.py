@@ -8,6 +8,7 @@ the operator that a query shows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -767,6 +768,20 @@ def _(spark, sf_dir):
     return rows.mapInPandas(solve, "i long, v double").select("i", F.round("v", 2).alias("v"))
 
 
+@query("int_10_adaptive_methods", """
+    SELECT method, i, round((i % 10) / 10.0 * exp(-0.5::DOUBLE), 3) AS v
+    FROM (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM supplier), (VALUES ('gsl'), ('gsl_rk2'), ('gsl_rk4'), ('gsl_rkck'), ('gsl_rkf45')) m(method)""")
+def _(spark, sf_dir):
+    from ..operators.group import Group
+    from .integrators import ADAPTIVE
+
+    def solved(method: str):
+        group = Group(table(spark, sf_dir, "supplier").count(), "dv/dt = -v*t/second**2 : 1", method=method).set("v", "(i % 10)/10")
+        return group.fold(group.table(spark), 1, 1.0).select(F.lit(method).alias("method"), "i", F.round("v", 3).alias("v"))
+
+    return reduce(DataFrame.unionByName, map(solved, sorted(ADAPTIVE)))
+
+
 def tree(spark, sf_dir):
     """The parts as points of a binary tree."""
     k = F.col("p_partkey")

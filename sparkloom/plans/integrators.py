@@ -9,6 +9,7 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 
@@ -331,20 +332,75 @@ def step(eqs: Equations, method: str | tuple[str, ...] = ("exact", "euler", "heu
     raise UnsupportedEquations("; ".join(refused))
 
 
-#: Embedded fourth- and fifth-order scheme (Fehlberg): stages, and the weights of both orders; fixed values.
-FEHLBERG = (
+class Scheme(NamedTuple):
+    """An embedded scheme: per stage the weights of the stages before, the stages' times, the weights of the solution
+    that is compared and of the one that is kept, and the power of the error that a substep's size follows."""
+
+    stages: tuple[tuple[float, ...], ...]
+    shifts: tuple[float, ...]
+    low: tuple[float, ...]
+    high: tuple[float, ...]
+    power: float
+
+
+#: Fehlberg's fourth and fifth order; fixed values.
+FEHLBERG = Scheme(
     ((), (1 / 4,), (3 / 32, 9 / 32), (1932 / 2197, -7200 / 2197, 7296 / 2197), (439 / 216, -8.0, 3680 / 513, -845 / 4104),
      (-8 / 27, 2.0, -3544 / 2565, 1859 / 4104, -11 / 40)),
     (0.0, 1 / 4, 3 / 8, 12 / 13, 1.0, 1 / 2),
     (25 / 216, 0.0, 1408 / 2565, 2197 / 4104, -1 / 5, 0.0),
     (16 / 135, 0.0, 6656 / 12825, 28561 / 56430, -9 / 50, 2 / 55),
+    1 / 5,
 )
+#: Cash's and Karp's fourth and fifth order; fixed values.
+CASH_KARP = Scheme(
+    ((), (1 / 5,), (3 / 40, 9 / 40), (3 / 10, -9 / 10, 6 / 5), (-11 / 54, 5 / 2, -70 / 27, 35 / 27),
+     (1631 / 55296, 175 / 512, 575 / 13824, 44275 / 110592, 253 / 4096)),
+    (0.0, 1 / 5, 3 / 10, 3 / 5, 1.0, 7 / 8),
+    (2825 / 27648, 0.0, 18575 / 48384, 13525 / 55296, 277 / 14336, 1 / 4),
+    (37 / 378, 0.0, 250 / 621, 125 / 594, 0.0, 512 / 1771),
+    1 / 5,
+)
+#: The midpoint rule within Kutta's third order; fixed values.
+MIDPOINT = Scheme(((), (1 / 2,), (-1.0, 2.0)), (0.0, 1 / 2, 1.0), (0.0, 1.0, 0.0), (1 / 6, 2 / 3, 1 / 6), 1 / 3)
+
+
+def halved(stages: list[tuple[float, list[float]]], weights: list[float], order: int) -> Scheme:
+    """One step of an explicit scheme held against two of half its size, as one tableau whose first stage both share."""
+    n = len(weights)
+    rows, times = [tuple(a) for _, a in stages], [c for c, _ in stages]
+    half = lambda ws: [w / 2 for w in ws]
+    # the first half takes the stages 0 and n to 2 * n - 2, the second one those behind
+    spread = lambda ws: [ws[0], *[0.0] * (n - 1), *ws[1:]]
+    rows += [tuple(spread(half(a))) for _, a in stages[1:]]
+    times += [c / 2 for c, _ in stages[1:]]
+    before = spread(half(weights))
+    rows += [(*before, *half(a)) for _, a in stages]
+    times += [0.5 + c / 2 for c, _ in stages]
+    low, high = [*weights, *[0.0] * (2 * n - 1)], [*before, *half(weights)]
+    return Scheme(tuple(rows), tuple(times), tuple(low), tuple(high), 1 / (order + 1))
+
+
+#: Methods that take substeps of their own size, by name; they run in kernels only.
+ADAPTIVE: dict[str, Scheme] = {
+    "gsl": FEHLBERG, "gsl_rkf45": FEHLBERG, "gsl_rkck": CASH_KARP, "gsl_rk2": MIDPOINT,
+    "gsl_rk4": halved([(0.0, []), (0.5, [0.5]), (0.5, [0.0, 0.5]), (1.0, [0.0, 0.0, 1.0])], [1 / 6, 1 / 3, 1 / 3, 1 / 6], 4),
+}
+
+
+def right_sides(rates: dict[str, ast.expr]) -> Step:
+    """For an adaptive method a step is its right sides, which a kernel takes as often as the error asks for."""
+    return [(f"_rate_{x}", tree) for x, tree in deterministic(rates).items()]
+
+
+for _name in ADAPTIVE:
+    register(_name, right_sides)
 
 
-def adaptive(rates: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], x: np.ndarray, t: float, dt: float, tolerance: float = 1e-6, most: int = 10_000) -> np.ndarray:
+def adaptive(rates: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], x: np.ndarray, t: float, dt: float, tolerance: float = 1e-6, most: int = 10_000, scheme: Scheme = FEHLBERG) -> np.ndarray:
     """One step of dt for all rows (the last axis), each with substeps of its own that hold the error. ``rates`` takes
     states, times and the places of the rows that they are of."""
-    stages, shifts, low, high = FEHLBERG
+    stages, shifts, low, high, power = scheme
     now, size = np.full(x.shape[-1], t), np.full(x.shape[-1], dt)
     for _ in range(most):
         left = t + dt - now
@@ -356,10 +412,10 @@ def adaptive(rates: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray],
         for a, c in zip(stages, shifts, strict=True):
             at = y + h * sum((w * k for w, k in zip(a, ks, strict=True)), np.zeros_like(y))
             ks.append(rates(at, now[open_] + c * h, open_))
-        fourth, fifth = (y + h * sum(w * k for w, k in zip(ws, ks, strict=True)) for ws in (low, high))
-        error = np.abs(fifth - fourth).reshape(-1, len(open_)).max(axis=0)
+        worse, better = (y + h * sum(w * k for w, k in zip(ws, ks, strict=True)) for ws in (low, high))
+        error = np.abs(better - worse).reshape(-1, len(open_)).max(axis=0)
         good = error <= tolerance
         done = open_[good]
-        x[..., done], now[done] = fifth[..., good], now[done] + h[good]
-        size[open_] = h * np.clip(0.9 * (tolerance / np.maximum(error, 1e-300)) ** 0.2, 0.2, 5.0)
+        x[..., done], now[done] = better[..., good], now[done] + h[good]
+        size[open_] = h * np.clip(0.9 * (tolerance / np.maximum(error, 1e-300)) ** power, 0.2, 5.0)
     raise RuntimeError("too many substeps")

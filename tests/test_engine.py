@@ -290,3 +290,33 @@ def test_monitors(spark, tmp_path):
     monitors.append(trace.filter("tick < 2"), path, 0)
     assert monitors.read(spark, path).count() == 18 and monitors.read(spark, path, (1, 2)).count() == 6
     assert monitors.states(kept, ("v",), kind="dict")["v"] == [r["v"] for r in kept.collect()]
+
+
+@pytest.mark.parametrize("method", ["gsl", "gsl_rkf45", "gsl_rkck", "gsl_rk2", "gsl_rk4"])
+def test_adaptive_methods_by_name(spark, method):
+    eqs = "dv/dt = (2 - v)*(1 + sin(t/second))/second : 1 (unless refractory)\nw : 1"
+    g = Group(3, eqs, method=method, threshold="v > w", reset="v = 0", refractory=0.3).set("w", "1 + 10*int(i > 0)")
+    got = {r["i"]: r for r in g.fold(g.table(spark), 20, 0.1, record=("v",), every=5).collect()}
+    solution = lambda t: 2 - 2 * math.exp(-t - 1 + math.cos(t))
+    assert got[1]["v"] == pytest.approx(solution(2.0), abs=1e-4)
+    assert [(r["tick"], r["v"]) for r in got[2]["trace"]] == [(k, pytest.approx(solution(k / 10), abs=1e-4)) for k in (0, 5, 10, 15)]
+    first = next(k for k in range(20) if solution((k + 1) / 10) > 1)
+    # it stays at 0 for the rest of the time step and three more, then grows again
+    assert got[0]["spikes"][0] == first and got[1]["spikes"] == []
+    fine = Group(3, eqs, method="rk4", threshold="v > w", reset="v = 0", refractory=0.3).set("w", "1 + 10*int(i > 0)")
+    assert got[0]["spikes"] == {r["i"]: r["spikes"] for r in fine.fold(fine.table(spark), 20, 0.1).collect()}[0]
+
+
+def test_adaptive_methods_are_kernels(spark):
+    g = Group(4, "dv/dt = (1.5 - v)/(10*ms) : 1", method="gsl_rkf45", threshold="v > 1", reset="v = 0").set("v", "i/10")
+    alone = sorted((r["tick"], r["i"]) for r in spikes(g.fold(g.table(spark), 200, 1e-3)).collect())
+    e = spark.createDataFrame([(0, 1, 0)], "i long, j long, seq long")
+    pathways = [Pathway("v", "0.0", 5e-3)]
+    run = Network(g, e, pathways).run(spark, 0.2, 1e-3)
+    assert sorted((r["tick"], r["i"]) for r in run.spikes().collect()) == alone
+    with pytest.raises(ValueError, match="kernels only"):
+        relational(g, e, pathways, spark, 2, 1e-3)
+    empty = g.fold(g.table(spark).filter("i < 0"), 3, 1e-3)
+    assert empty.count() == 0
+    with pytest.raises(ValueError, match="noise"):
+        Group(1, "dv/dt = -v/second + xi*second**-0.5 : 1", method="gsl").plan(0.1)
