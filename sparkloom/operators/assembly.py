@@ -1,8 +1,9 @@
 """Assemblies: several groups, synapses with state and code of their own, and clocked code, as whole networks.
 
 A parameter sweep or a study is many networks; each is one group of rows (``run``), and all run side by side, a task
-each, in NumPy. A single network that does not fit a task runs in supersteps instead (``network.Network``), which cut
-one group into shards but take additive pathways only.
+each, in NumPy. A single network that does not fit a task is cut into ``shards`` by the targets of its edges, where
+nothing flows back into the sources of edges: these are in every shard, everything else is in one, and results are the
+same to the last bit. Recurrent ones run in supersteps instead (``network.Network``), which take additive pathways only.
 
 Order within a tick: ``start`` (held views, operations, clocked code, recording), ``groups`` (summed variables, then
 the groups' state updates, then those of clock-driven synapses), ``thresholds`` (events), ``synapses`` (pathways by
@@ -19,13 +20,15 @@ delays below zero; a null value counts as 0; a run without nodes gives nothing;
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lang
@@ -132,15 +135,15 @@ class Stop(Exception):
 class Rows:
     """An object's rows in a run."""
 
-    def __init__(self, name: str, kinds: dict[str, str], ids: np.ndarray, values: list[dict]):
+    def __init__(self, name: str, kinds: dict[str, str], ids: np.ndarray, values: list[np.ndarray]):
+        """``ids`` rise; ``values`` has the columns of ``kinds``, in their order."""
         self.name, self.ids, self.kinds = name, ids, kinds
-        if len(np.unique(ids)) < len(ids):
-            raise ValueError(f"two rows of {name} have the same number")
         types = {"double": float, "int": np.int32, "boolean": bool}
-        for row in values:
-            if unknown := row.keys() - kinds.keys() - {"lastspike"}:
-                raise lang.unknown(min(unknown), kinds)
-        self.state = {c: np.array([row.get(c) or 0 for row in values], types[kind]) if values else np.zeros(0, types[kind]) for c, kind in kinds.items()}
+        self.state: dict[str, np.ndarray] = {}
+        for (c, kind), x in zip(kinds.items(), values, strict=True):
+            if kind == "int" and not (np.abs(x) < 2**31).all():
+                raise ValueError(f"{c} of {name} is no integer of 32 bits somewhere")
+            self.state[c] = x.astype(types[kind])
         self.fired: dict[str, np.ndarray] = {}
 
     def __len__(self) -> int:
@@ -183,33 +186,142 @@ class Assembly:
             out = rows if out is None else out.unionByName(rows)
         return spark.range(runs).select(F.col("id").alias("run")).join(out).select("run", "object", "i", "values")
 
-    def run(self, nodes: DataFrame, edges: DataFrame | None, ticks: int, dt: float) -> DataFrame:
+    @property
+    def kinds(self) -> dict[str, dict[str, str]]:
+        """The columns of every object's rows."""
+        delays = {s.name: {w.delay: "double" for w in s.ways.values() if isinstance(w.delay, str)} for s in self.synapses}
+        return {x.name: dict(x.stored) | delays.get(x.name, {}) for x in [*self.groups, *self.synapses]}
+
+    def run(self, nodes: DataFrame, edges: DataFrame | None, ticks: int, dt: float, shards: int = 1) -> DataFrame:
         """Events, recorded values and final states of all runs, a row each: ``(run, kind, object, tick, i, name,
         value)`` with kind ``event``, ``trace`` or ``state``; an edge's ``i`` is its ``seq``."""
+
+        def result(live: Live, run: int | None) -> pa.Table:
+            live.out += [("state", name, live.ticks, rows.ids, c, x) for name, rows in live.shown() for c, x in rows.state.items()]
+            parts = []
+            for kind, name, tick, ids, column, values in live.out:
+                n = len(ids)
+                fixed = [pa.repeat(pa.scalar(x, t), n) for x, t in ((run, pa.int64()), (kind, pa.string()), (name, pa.string()), (tick, pa.int64()))]
+                parts.append(pa.table([*fixed, pa.array(ids), pa.repeat(column, n), pa.array(values, pa.float64())], SHOWN.names))
+            return pa.concat_tables(parts) if parts else SHOWN.empty_table()
+
+        return self.solved(nodes, edges, ticks, dt, shards, result, SHOWN, RESULT)
+
+    def final(self, nodes: DataFrame, edges: DataFrame | None, ticks: int, dt: float, name: str, shards: int = 1) -> DataFrame:
+        """The final state of one object alone, a row for each of its rows: ``(run, i, ...)`` with its columns as doubles."""
+        columns = list(self.kinds[name])
+        schema = pa.schema([("run", pa.int64()), ("i", pa.int64()), *((c, pa.float64()) for c in columns)])
+
+        def result(live: Live, run: int | None) -> pa.Table:
+            rows = dict(live.shown()).get(name)
+            if rows is None:
+                return schema.empty_table()
+            values = [pa.array(rows.state[c].astype(float)) for c in columns]
+            return pa.table([pa.repeat(pa.scalar(run, pa.int64()), len(rows)), pa.array(rows.ids), *values], schema.names)
+
+        text = "run long, i long" + "".join(f", `{c}` double" for c in columns)
+        return self.solved(nodes, edges, ticks, dt, shards, result, schema, text)
+
+    def solved(self, nodes: DataFrame, edges: DataFrame | None, ticks: int, dt: float, shards: int, result: Callable, schema: pa.Schema, text: str) -> DataFrame:
         spark = nodes.sparkSession
         edges = edges if edges is not None else spark.createDataFrame([], EDGES)
+        kept = self.everywhere() if shards > 1 else frozenset()
 
         def one(rows: pa.Table, links: pa.Table) -> pa.Table:
-            found = Live(self, dt, rows.to_pylist(), links.to_pylist()).advance(ticks) if rows.num_rows else []
-            run = rows.column("run")[0].as_py() if rows.num_rows else 0
-            columns = list(zip(*found, strict=True)) if found else [()] * 6
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64()]
-            arrays = [pa.array([run] * len(found), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))]
-            return pa.table(arrays, ["run", "kind", "object", "tick", "i", "name", "value"])
+            if not rows.num_rows:
+                return schema.empty_table()
+            live = Live(self, dt, rows, links, kept if rows.column("shard")[0].as_py() else frozenset())
+            live.advance(ticks)
+            out = result(live, rows.column("run")[0].as_py())
+            return pa.Table.from_batches(out.to_batches(max_chunksize=100_000), out.schema)
+
+        nodes, edges = self.dealt(self.flat(nodes, ["i"]), self.flat(edges, ["seq", "i", "j"]), shards, kept)
+        return nodes.groupBy("run", "shard").cogroup(edges.groupBy("run", "shard")).applyInArrow(one, text)
+
+    def flat(self, rows: DataFrame, ids: list[str]) -> DataFrame:
+        """Rows with their values in columns ``c0``, ``c1``, ... in the order of their object's; ``odd`` is the first name
+        that the object doesn't have."""
+        kinds = self.kinds
+
+        def by_object(of: Callable[[list[str]], Column]) -> Column:
+            out = F.lit(None)
+            for name, own in kinds.items():
+                out = F.when(F.col("object") == name, of(list(own))).otherwise(out)
+            return out
+
+        wide = max(map(len, kinds.values()), default=0)
+        columns = [by_object(lambda own, n=n: F.col("values")[own[n]] if n < len(own) else F.lit(None)).cast("double").alias(f"c{n}") for n in range(wide)]
+        known = lambda own: F.array(*map(F.lit, [*own, "lastspike"]))
+        odd = by_object(lambda own: F.array_min(F.array_except(F.map_keys("values"), known(own)))).cast("string").alias("odd")
+        return rows.select("run", "object", *ids, *columns, odd)
+
+    def dealt(self, nodes: DataFrame, edges: DataFrame, shards: int, kept: frozenset[str]) -> tuple[DataFrame, DataFrame]:
+        """Nodes and edges with their shards. An edge goes where its target is, one onto another edge where that edge
+        goes; a bare row (``stub``) of each goes where its ``seq`` is, for two of the same number to be found."""
+        if shards <= 1:
+            return nodes.withColumn("shard", F.lit(0)), edges.withColumns({"shard": F.lit(0), "stub": F.lit(False)})
+        home = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(shards)).cast("int")
+        every = F.sequence(F.lit(0), F.lit(shards - 1))
+        marks = nodes.select("run").distinct()  # each shard knows of each run that has nodes
+        all_ = nodes.withColumn("shard", F.explode(F.when(F.col("object").isin(*kept), every).otherwise(F.array(home("i")))))
+        all_ = all_.unionByName(marks.withColumn("shard", F.explode(every)), allowMissingColumns=True)
+
+        onto = {s.name: s.target for s in self.synapses if s.target in {x.name for x in self.synapses}}
+        placed = edges.filter(~F.coalesce(F.col("object").isin(*onto), F.lit(False))).withColumn("at", home("j")) if onto else edges.withColumn("at", home("j"))
+        waiting = dict(onto)
+        while waiting:
+            name = next(x for x, target in waiting.items() if target not in waiting)
+            target = placed.filter(F.col("object") == waiting.pop(name)).select("run", F.col("seq").alias("j"), "at")
+            own = edges.filter(F.col("object") == name).join(target, ["run", "j"], "left").withColumn("at", F.coalesce("at", home("j")))
+            placed = placed.unionByName(own)
+        both = F.array(F.struct(F.col("at").alias("shard"), F.lit(False).alias("stub")), F.struct(home("seq").alias("shard"), F.lit(True).alias("stub")))
+        bare = {c: F.when(~F.col("stub"), F.col(c)).alias(c) for c in edges.columns if c not in ("run", "object", "seq")}
+        copies = placed.withColumn("_to", F.explode(both)).select(*edges.columns, "_to.shard", "_to.stub")
+        return all_, copies.withColumns(bare)
+
+    def everywhere(self) -> frozenset[str]:
+        """The groups that every shard must have: the sources of edges. An error where shards would not be on their own."""
+        kinds, sources = self.kinds, frozenset(s.source for s in self.synapses)
+        texts = [x for g in self.groups for x in (g.threshold, g.reset, g.refractory, *g.events.values())] + [w.code for s in self.synapses for w in s.ways.values()]
+        texts += [c.code for c in self.clocked] + [ast.unparse(e.expr) for x in [*self.groups, *self.synapses] for e in x.equations.items.values() if e.expr is not None]
+        written = set()
+        for s in self.synapses:
+            code = [w.code for w in s.ways.values()] + [c.code for c in self.clocked if c.target == s.name]
+            names = {x.target for text in code for x in lang.statements(text)} - kinds[s.name].keys() | s.summed.keys()
+            for name in names:
+                for suffix, other in (("_pre", s.source), ("_post", s.target), ("", s.target)):
+                    if name.endswith(suffix) and name.removesuffix(suffix) in kinds[other]:
+                        written.add(other)
+                        break
+        why = [
+            ("links", bool(self.links)), ("operations", bool(self.operations)), ("N", any(re.search(r"\bN\b", str(x)) for x in texts)),
+            ("edges from edges", bool(sources & {s.name for s in self.synapses})), (f"code that changes {sorted(sources & written)}, sources of edges,", bool(sources & written)),
+        ]
+        if found := [x for x, holds in why if holds]:
+            raise ValueError(f"a network with {found[0]} can't be cut into shards")
+        return sources
+
 
-        return nodes.groupBy("run").cogroup(edges.groupBy("run")).applyInArrow(one, RESULT)
+#: What ``Assembly.run`` gives, in Arrow.
+SHOWN = pa.schema([("run", pa.int64()), ("kind", pa.string()), ("object", pa.string()), ("tick", pa.int64()), ("i", pa.int64()), ("name", pa.string()), ("value", pa.float64())])
+
+
+def whole(column: pa.ChunkedArray, name: str) -> np.ndarray:
+    if column.null_count:
+        raise ValueError(f"a row of {name} has no number or no end")
+    return column.to_numpy()
 
 
 class Live:
     """One run of an assembly."""
 
-    def __init__(self, plan: Assembly, dt: float, nodes: list[dict], edges: list[dict]):
-        self.plan, self.dt = plan, dt
+    def __init__(self, plan: Assembly, dt: float, nodes: pa.Table, edges: pa.Table, hidden: frozenset[str] = frozenset()):
+        """``hidden``: objects whose results another shard gives."""
+        self.plan, self.dt, self.hidden, self.kinds = plan, dt, hidden, plan.kinds
         self.rows: dict[str, Rows] = {}
         self.kernels = {g.name: Kernel.of(g, dt) for g in plan.groups}
         for g in plan.groups:
-            own = sorted((r for r in nodes if r["object"] == g.name), key=lambda r: r["i"])
-            rows = Rows(g.name, g.stored, np.array([r["i"] for r in own], np.int64), [dict(r["values"] or ()) for r in own])
+            rows, _ = self.load(g.name, nodes.filter(pc.equal(nodes.column("object"), g.name)), "i")
             rows.last, rows.ready = np.full(len(rows), -1e4), np.ones(len(rows), bool)
             self.rows[g.name] = rows
         self.ends: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -219,19 +331,36 @@ class Live:
             if s is None:
                 raise ValueError("synapses that need each other's rows")
             waiting.remove(s)
-            own = sorted((r for r in edges if r["object"] == s.name), key=lambda r: r["seq"])
-            kinds = {c: t for c, t in s.stored.items()} | {w.delay: "double" for w in s.ways.values() if isinstance(w.delay, str)}
-            self.rows[s.name] = Rows(s.name, kinds, np.array([r["seq"] for r in own], np.int64), [dict(r["values"] or ()) for r in own])
-            self.rows[s.name].updated = np.zeros(len(own))
-            self.ends[s.name] = (self.places(s.source, own, "i"), self.places(s.target, own, "j"))
+            own = edges.filter(pc.equal(edges.column("object"), s.name))
+            stubs = whole(own.filter(own.column("stub")).column("seq"), s.name)
+            if len(np.unique(stubs)) < len(stubs):
+                raise ValueError(f"two rows of {s.name} have the same number")
+            self.rows[s.name], own = self.load(s.name, own.filter(pc.invert(own.column("stub"))), "seq")
+            self.rows[s.name].updated = np.zeros(own.num_rows)
+            self.ends[s.name] = (self.places(s.source, s.name, own, "i"), self.places(s.target, s.name, own, "j"))
         self.steps = {s.name: self.steps_of(s) for s in plan.synapses}
         self.queue: dict[tuple[str, str], dict[int, list[np.ndarray]]] = {(s.name, w): {} for s in plan.synapses for w in s.ways}
         self.known = {g.name for g in plan.groups} if plan.active is None else set(plan.active)
+        #: Kind, object, tick, numbers of rows, name and values.
         self.out: list[tuple] = []
+        self.ticks = 0
+
+    def load(self, name: str, own: pa.Table, key: str) -> tuple[Rows, pa.Table]:
+        ids = whole(own.column(key), name)
+        own = own.take(np.argsort(ids, kind="stable"))
+        ids = own.column(key).to_numpy()
+        if (ids[1:] == ids[:-1]).any():
+            raise ValueError(f"two rows of {name} have the same number")
+        if unknown := pc.min(own.column("odd")).as_py():
+            raise lang.unknown(unknown, self.kinds[name])
+        values = [own.column(f"c{n}").fill_null(0.0).to_numpy() for n in range(len(self.kinds[name]))]
+        return Rows(name, self.kinds[name], ids, values), own
+
+    def shown(self) -> list[tuple[str, Rows]]:
+        return [(name, rows) for name, rows in self.rows.items() if name not in self.hidden]
 
-    def places(self, name: str, edges: list[dict], end: str) -> np.ndarray:
-        ids = self.rows[name].ids
-        want = np.array([e[end] for e in edges], np.int64)
+    def places(self, name: str, edges: str, own: pa.Table, end: str) -> np.ndarray:
+        ids, want = self.rows[name].ids, whole(own.column(end), edges)
         at = np.searchsorted(ids, want)
         if len(want) and ((at >= len(ids)) | (ids[np.minimum(at, max(0, len(ids) - 1))] != want)).any() if len(ids) else len(want):
             raise ValueError(f"an edge's end is no row of {name}")
@@ -282,7 +411,7 @@ class Live:
 
     # --- a tick -----------------------------------------------------------------------------------------------
 
-    def advance(self, ticks: int) -> list[tuple]:
+    def advance(self, ticks: int) -> None:
         for k in range(ticks):
             try:
                 for operation in self.plan.operations:
@@ -291,10 +420,7 @@ class Live:
                 ticks = k
                 break
             self.tick(k)
-        for name, rows in self.rows.items():
-            for c, values in rows.state.items():
-                self.out += [("state", name, ticks, int(i), c, float(v)) for i, v in zip(rows.ids, values, strict=True)]
-        return self.out
+        self.ticks = ticks
 
     def tick(self, k: int) -> None:
         plan = self.plan
@@ -308,11 +434,13 @@ class Live:
         if k % plan.every == 0:
             for item in plan.record:
                 name, column = item.split(".")
+                if name in self.hidden:
+                    continue
                 values = self.rows[name].state.get(column)
                 if values is None:
                     g = next(g for g in plan.groups if g.name == name)
                     values = np.broadcast_to(lang.array(g.code(column, f"show{column}"), self.group_env(g, k)), self.rows[name].ids.shape)
-                self.out += [("trace", name, k, int(i), column, float(v)) for i, v in zip(self.rows[name].ids, values, strict=True)]
+                self.out.append(("trace", name, k, self.rows[name].ids, column, np.array(values, float)))
         for s in plan.synapses:
             self.sums(s, k)
         for g in plan.groups:
@@ -379,14 +507,17 @@ class Live:
                 if g.refractory is not None:
                     rows.ready = rows.ready & ~fired
             rows.fired[event] = np.flatnonzero(fired)
-            self.out += [("event", g.name, k, int(i), event, 1.0) for i in rows.ids[rows.fired[event]]]
+            if g.name not in self.hidden:
+                self.out.append(("event", g.name, k, rows.ids[rows.fired[event]], event, np.ones(len(rows.fired[event]))))
 
     def push(self, s: Synapses, name: str, way: Way, k: int) -> None:
         fired = self.rows[s.source if way.side == "pre" else s.target].fired.get(way.event)
         if fired is None or not len(fired):
             return
         end = self.ends[s.name][0 if way.side == "pre" else 1]
-        edges = np.flatnonzero(np.isin(end, fired))
+        hit = np.zeros(len(self.rows[s.source if way.side == "pre" else s.target]), bool)
+        hit[fired] = True
+        edges = np.flatnonzero(hit[end])
         delay = self.rows[s.name].state[way.delay][edges] if isinstance(way.delay, str) else np.full(len(edges), float(way.delay))
         if (delay < 0).any():
             raise ValueError(f"a delay of {s.name} is below zero")

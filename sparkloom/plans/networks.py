@@ -10,6 +10,8 @@ from ..operators.group import Group
 from . import catalogue as C
 
 DT = 1e-3
+#: What a network is cut into; each shard fits a task.
+SHARDS = 64
 
 
 def rows_of(df, name: str, columns: tuple[str, ...] = ()):
@@ -41,26 +43,25 @@ LINKS = "(SELECT l_orderkey, min(l_suppkey) AS l_suppkey, min(l_partkey) AS l_pa
 TIMES = f"(SELECT l_orderkey, l_suppkey AS i, l_partkey AS j, l_quantity AS w, (19 - l_orderkey % 3) // (l_suppkey % 5 + 2) + 1 AS n FROM {LINKS} l)"
 
 
-def network(spark, sf_dir, target: str, code: str, equations: str = "w : 1"):
+def network(spark, sf_dir, target: str, code: str, shown: str, equations: str = "w : 1"):
+    """The final state of one of its objects."""
     a, b = Group(1, "period : 1", threshold=PERIODIC, name="a"), Group(1, target, name="b")
     plan = Assembly([a, b], [Synapses("s", "a", "b", equations, {"pre": Way(code, delay="d")})])
     nodes = rows_of(suppliers(spark, sf_dir), "a", ("period",)).unionByName(rows_of(parts(spark, sf_dir), "b"))
-    return plan.run(nodes, edge_rows(links(spark, sf_dir), "s", ("w", "d")), 20, DT)
+    return plan.final(nodes, edge_rows(links(spark, sf_dir), "s", ("w", "d")), 20, DT, shown, SHARDS)
 
 
 @C.query("str_8_pathway", f"SELECT p_partkey AS i, round(coalesce(sum(w * n), 0), 6) AS v FROM part LEFT JOIN {TIMES} e ON e.j = p_partkey GROUP BY 1")
 def _(spark, sf_dir):
     """What arrives at each target, over edges with delays of their own."""
-    return of_kind(network(spark, sf_dir, "v : 1", "v_post += w"), "state", "v").select("i", F.round("value", 6).alias("v"))
+    return network(spark, sf_dir, "v : 1", "v_post += w", "b").select("i", F.round("v", 6).alias("v"))
 
 
 @C.query("edg_1_edge_state", f"SELECT l_orderkey AS seq, round(w * power(1.5::DOUBLE, n), 6) AS w, CAST(n AS DOUBLE) AS seen FROM {TIMES} e")
 def _(spark, sf_dir):
     """Code that changes the edge itself."""
-    out = of_kind(network(spark, sf_dir, "v : 1", "w *= 1.5; seen += 1", "w : 1\nseen : 1"), "state").filter("object = 's' AND name IN ('w', 'seen')")
-    return out.groupBy(F.col("i").alias("seq")).agg(
-        F.round(F.max(F.when(F.col("name") == "w", F.col("value"))), 6).alias("w"), F.max(F.when(F.col("name") == "seen", F.col("value"))).alias("seen")
-    )
+    out = network(spark, sf_dir, "v : 1", "w *= 1.5; seen += 1", "s", "w : 1\nseen : 1")
+    return out.select(F.col("i").alias("seq"), F.round("w", 6).alias("w"), "seen")
 
 
 @C.query("int_14_clock_driven", f"SELECT l_orderkey AS seq, round(s_acctbal * (1 - power(0.9::DOUBLE, 12)), 6) AS q FROM {LINKS} l JOIN supplier ON s_suppkey = l_suppkey")

@@ -1,6 +1,7 @@
 """Networks of several groups with synapses' own state and code, against loops."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -182,3 +183,77 @@ def test_equation_flags_hold_or_are_refused(spark):
     for _ in range(3):
         v += 0.5 * (v + 1)  # held, so that every stage sees the same value
     assert out == pytest.approx(v)
+
+
+def spread(spark, out) -> int:
+    """Tasks that a result's rows come from."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        return out.select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_shards_change_nothing(spark):
+    """Two runs of 60 targets and 400 edges, with all that shards may have: draws, delays, events of both ends, sums."""
+    a = Group(30, "dx/dt = (1.4 - x)/(10*ms) + 0.3*xi/(10*ms)**0.5 : 1", method="euler", threshold="x > 1", reset="x = 0", name="a").set("x", "rand()")
+    b = Group(60, "dv/dt = -v/(20*ms) : 1\ng : 1", method="euler", threshold="v > 2", reset="v = 0", events={"low": "v < 0.1"}, name="b").set("v", "rand()")
+    lone = Group(9, "y : 1", name="lone").set("y", "rand()")
+    s = Synapses("s", "a", "b", "w : 1\nd : second\ndq/dt = -q/(5*ms) : 1 (event-driven)\ndz/dt = (x_pre - z)/second : 1 (clock-driven)\ng_post = w*z : 1 (summed)",
+                 {"pre": Way("v_post += w*rand(); q += 1", delay="d"), "post": Way("w *= 0.9; q -= 0.5", "post")}, method="euler")
+    m = Synapses("m", "a", "s", "", {"pre": Way("w_post += 0.01")})
+    plan = Assembly([a, b, lone], [s, m], [Clocked("lone", "y += 1", every=2e-3), Clocked("b", "v += 0.01", event="low")], record=("b.v", "a.x"), every=5)
+    rows = [(k % 2, k, k % 7 + 3 * (k % 5), (k * k + k // 3) % 60, 0.1 + k % 9, k % 4 * DT) for k in range(800)]
+    edges = edge_rows(spark.createDataFrame(rows, "run long, seq long, i long, j long, w double, d double"), "s", ("w", "d"), "run")
+    onto = edge_rows(spark.createDataFrame([(k % 2, k, k % 30, k) for k in range(0, 800, 3)], "run long, seq long, i long, j long"), "m", (), "run")
+    nodes = plan.nodes(spark, 2)
+    whole, cut = (sorted(map(tuple, plan.run(nodes, edges.unionByName(onto), 15, DT, shards).collect())) for shards in (1, 5))
+    assert whole == cut and {(x[1], x[2]) for x in whole} == {("event", "a"), ("event", "b"), ("trace", "a"), ("trace", "b"), *(("state", n) for n in ("a", "b", "lone", "s"))}
+    last = plan.final(nodes, edges.unionByName(onto), 15, DT, "s", 5).collect()
+    assert {(r["run"], r["i"], c): r[c] for r in last for c in ("w", "d", "q", "z")} == {(x[0], x[4], x[5]): x[6] for x in whole if x[1:3] == ("state", "s")}
+    assert len(last) == 800
+
+
+def test_what_is_wrong_in_one_shard_is_wrong(spark):
+    a, b = Group(3, "x : 1", name="a"), Group(50, "v : 1", name="b")
+    plan = Assembly([a, b], [Synapses("s", "a", "b", "w : 1", {"pre": Way("v_post += w")})])
+    nodes = plan.nodes(spark)
+    run = lambda rows, some=nodes: plan.run(some, edges_of(spark, rows), 2, DT, 8)
+    assert run([(k, k % 3, k, 1.0) for k in range(50)]).count() == 3 + 50 + 50
+    for j in range(1, 50, 7):  # wherever the two edges' targets are
+        with pytest.raises(Exception, match="two rows of s"):
+            run([(0, 0, 0, 1.0), (0, 0, j, 1.0)]).collect()
+    bad = [(0, 0, 0, 1.0), (1, 0, 77, 1.0)]
+    with pytest.raises(Exception, match="no row of b"):
+        run(bad).collect()
+    with pytest.raises(Exception, match="no row of a"):  # also where the edge's shard has no nodes at all
+        run([(0, 0, 0, 1.0)], nodes.filter("object = 'b' and i = 1")).collect()
+    assert run(bad, nodes.filter("false")).count() == 0
+    with pytest.raises(Exception, match="did you mean"):
+        plan.run(nodes, edge_rows(spark.createDataFrame([(0, 0, 0, 1.0)], "seq long, i long, j long, ww double"), "s", ("ww",)), 2, DT, 8).collect()
+
+
+def test_networks_that_shards_would_change_are_refused(spark):
+    a, b = Group(2, "x : 1", threshold="x > 1", name="a"), Group(2, "v : 1", name="b")
+    way = lambda code: {"pre": Way(code)}
+    refused = {
+        "changes": [Assembly([a, b], [Synapses("s", "a", "b", "w : 1", way("x_pre += w"))]), Assembly([a], [Synapses("s", "a", "a", "", way("x += 1"))]),
+                    Assembly([a, b], [Synapses("s", "a", "b", "x_pre = v_post : 1 (summed)")]), Assembly([a, b], [Synapses("s", "a", "b")], [Clocked("s", "x_pre = 1", every=DT)])],
+        "N": [Assembly([a, Group(2, "v : 1", threshold="v > N", name="b")], [Synapses("s", "a", "b")]), Assembly([a, b], [Synapses("s", "a", "b", "", way("v += 1/N"))])],
+        "links": [Assembly([a, Group(2, "v : 1 (linked)", name="b")], [Synapses("s", "a", "b")], links=[Linked("b", "v", "a", "x")])],
+        "operations": [Assembly([a, b], [Synapses("s", "a", "b")], operations=[print])],
+        "edges from edges": [Assembly([a, b], [Synapses("s", "a", "b", "u : 1"), Synapses("m", "s", "b")])],
+    }
+    for text, plans in refused.items():
+        for plan in plans:
+            with pytest.raises(ValueError, match=f"{text}.*shards"):
+                plan.run(plan.nodes(spark), None, 2, DT, 3)
+
+
+@pytest.mark.parametrize("name", ["edg_1_edge_state"])
+def test_a_large_network_is_many_tasks(spark, name):
+    from sparkloom.plans import catalogue
+
+    out = catalogue.queries()[name](spark, "/root/testdata/sf0.001")
+    groups = re.findall(r"FlatMapCoGroupsInArrow \[([^\]]*)\]", out._jdf.queryExecution().sparkPlan().toString())
+    assert [re.sub(r"#\w+", "", g) for g in groups] == ["run, shard"] and spread(spark, out) == 4
