@@ -70,8 +70,8 @@ def _(spark, sf_dir):
     a, b = Group(1, "v : 1", name="a"), Group(1, "x : 1", name="b")
     plan = Assembly([a, b], [Synapses("s", "a", "b", "dq/dt = (v_pre - q)/(10*ms) : 1 (clock-driven)", method="euler")])
     nodes = rows_of(suppliers(spark, sf_dir), "a", ("v",)).unionByName(rows_of(parts(spark, sf_dir), "b"))
-    out = plan.run(nodes, edge_rows(links(spark, sf_dir), "s"), 12, DT)
-    return of_kind(out, "state", "q").select(F.col("i").alias("seq"), F.round("value", 6).alias("q"))
+    out = plan.final(nodes, edge_rows(links(spark, sf_dir), "s"), 12, DT, "s", SHARDS)
+    return out.select(F.col("i").alias("seq"), F.round("q", 6).alias("q"))
 
 
 @C.query("join_15_synapses_on_synapses", f"""
