@@ -84,8 +84,8 @@ def _(spark, sf_dir):
     edges = links(spark, sf_dir)
     onto = edges.filter(F.col("i") % 7 == F.col("seq") % 11).select("seq", "i", F.col("seq").alias("j"))
     nodes = rows_of(suppliers(spark, sf_dir), "a", ("period",)).unionByName(rows_of(parts(spark, sf_dir), "b"))
-    out = plan.run(nodes, edge_rows(edges, "s").unionByName(edge_rows(onto, "m")), 6, DT)
-    return of_kind(out, "state", "u").filter("object = 's'").select(F.col("i").alias("seq"), F.col("value").alias("w"))
+    out = plan.final(nodes, edge_rows(edges, "s").unionByName(edge_rows(onto, "m")), 6, DT, "s", SHARDS)
+    return out.select(F.col("i").alias("seq"), F.col("u").alias("w"))
 
 
 @C.query("agg_1_summed_flag", f"SELECT p_partkey AS i, round(coalesce(sum(l_quantity * s_acctbal), 0), 4) AS g FROM part LEFT JOIN ({LINKS} l JOIN supplier ON s_suppkey = l_suppkey) ON l_partkey = p_partkey GROUP BY 1")
