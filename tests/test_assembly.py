@@ -250,7 +250,7 @@ def test_networks_that_shards_would_change_are_refused(spark):
                 plan.run(plan.nodes(spark), None, 2, DT, 3)
 
 
-@pytest.mark.parametrize("name", ["edg_1_edge_state", "str_8_pathway", "int_14_clock_driven", "join_15_synapses_on_synapses"])
+@pytest.mark.parametrize("name", ["edg_1_edge_state", "str_8_pathway", "int_14_clock_driven", "join_15_synapses_on_synapses", "agg_1_summed_flag"])
 def test_a_large_network_is_many_tasks(spark, name):
     from sparkloom.plans import catalogue
 
