@@ -40,29 +40,47 @@ HOT = 1024
 POWER = 0.25
 END = b"\n"  # no word has it
 
-BLOCK = "block long, ids array<{}>, held array<boolean>, lengths binary, tokens binary, words binary, counts binary"
+BLOCK = "block long, ids array<{}>, held array<boolean>, lengths binary, tokens binary, places binary, words binary, counts binary"
 #: A message of one block to one shard, or an answer; its arrays are compressed.
 MESSAGE = "shard int, block long, a binary, b binary, c binary, d binary"
 
+
 def packed(values: np.ndarray) -> bytes:
-    """Non-negative integers in as few bytes each as hold them, compressed; unsigned ones (hashes) stay as they are."""
-    kind = values.dtype
-    if kind != np.uint64:
-        kind = min(np.min_scalar_type(int(values.max(initial=0))), np.dtype(np.uint32), key=lambda k: k.itemsize)
-        kind = np.dtype(np.int64) if values.max(initial=0) >> 32 else kind
-    body = values.astype(kind)
-    return kind.char.encode() + len(values).to_bytes(8, "little") + pa.compress(body.tobytes(), codec="zstd", asbytes=True)
+    """Non-negative integers, each of their bytes on its own as far as any is set: the first bytes of all, then the
+    second ones, compressed. Hashes of 64 bits come back as negative numbers and are viewed as unsigned."""
+    wide = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    bytes_of = values.astype("<u8").view(np.uint8).reshape(-1, 8)
+    planes = [pa.compress(bytes_of[:, k].tobytes(), codec="zstd", asbytes=True) for k in range(wide)]
+    return np.array([len(values), *map(len, planes)], "<u8").tobytes().ljust(72, b"\0") + b"".join(planes)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    kind, n = np.dtype(data[:1].decode()), int.from_bytes(data[1:9], "little")
-    body = pa.decompress(data[9:], n * kind.itemsize, codec="zstd", asbytes=True) if n else b""
-    found = np.frombuffer(body, kind)
-    return found if kind.char == "L" else found.astype(np.int64)
+    n, *sizes = np.frombuffer(data, "<u8", 9).tolist()
+    out, at = np.zeros(n, "<i8"), 72
+    for k, size in enumerate(sizes if n else ()):
+        if size:
+            out.view(np.uint8).reshape(-1, 8)[:, k] = np.frombuffer(pa.decompress(data[at : at + size], n, codec="zstd", asbytes=True), np.uint8)
+        at += size
+    return out
+
+
+def rises(values: np.ndarray) -> np.ndarray:
+    """Steps from one to the next; ``np.cumsum`` takes them back."""
+    return np.diff(values, prepend=values.dtype.type(0))
+
+
+def folded(values: np.ndarray) -> np.ndarray:
+    """Integers of either sign as small non-negative ones."""
+    return values << 1 ^ values >> 63
+
+
+def unfolded(values: np.ndarray) -> np.ndarray:
+    return values >> 1 ^ -(values & 1)
 
 
 def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Tokenized documents, many to a row. Token 0 is the end; the others are numbered as they come."""
+    """Tokenized documents, many to a row. Token 0 is the end; the others are numbered from frequent to rare. ``words``
+    has their hashes, rising, as steps, ``counts`` their training counts in that order, ``places`` their numbers."""
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, number = TaskContext.get().partitionId(), 0
@@ -72,13 +90,18 @@ def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
             nonlocal number
             flat = np.concatenate(tokens).astype(np.int64)
             size = np.array(lengths, np.int64)
-            train = flat[np.repeat(~np.array(held, bool), size)]
             hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in known), np.uint64, len(known))
-            columns = [[place << 32 | number], [ids], [held], [packed(size)], [packed(flat)], [packed(hashes)]]
-            columns.append([packed(np.bincount(train, minlength=len(known)))])
+            order = np.argsort(-np.bincount(flat, minlength=len(known))[1:], kind="stable") + 1
+            numbers = np.zeros(len(known), np.int64)
+            numbers[order] = np.arange(1, len(known))
+            flat = numbers[flat]
+            counts = np.bincount(flat[np.repeat(~np.array(held, bool), size)], minlength=len(known))
+            by_hash = np.argsort(hashes)
+            places = numbers[by_hash]
+            columns = [[place << 32 | number], [ids], [held], *([packed(x)] for x in (size, flat, places, rises(hashes[by_hash]), counts[places]))]
             number += 1
-            kinds = [pa.int64(), pa.list_(kind), pa.list_(pa.bool_()), *[pa.binary()] * 4]
-            names = ["block", "ids", "held", "lengths", "tokens", "words", "counts"]
+            kinds = [pa.int64(), pa.list_(kind), pa.list_(pa.bool_()), *[pa.binary()] * 5]
+            names = ["block", "ids", "held", "lengths", "tokens", "places", "words", "counts"]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
         for part in (piece for batch in parts for piece in slices(batch, 2)):
@@ -116,21 +139,19 @@ def messages(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["shard", "block", "a", "b", "c", "d"])
 
 
-def word_order(words: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return by_shard((words % np.uint64(shards)).astype(np.int64), words)
-
-
 def ask_words(parts: DataFrame, shards: int) -> DataFrame:
-    """Each block's words and training counts, to the words' shards."""
+    """Each block's words, as steps of their hashes, and training counts, to the words' shards, which are ranges of the
+    hash."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, words, counts in zip(*(batch.column(k) for k in range(3)), strict=True):
-                w, c = unpacked(words.as_py()).view(np.uint64), unpacked(counts.as_py())
-                places, found, first = word_order(w, shards)
+                w, c = np.cumsum(unpacked(words.as_py())).view(np.uint64), unpacked(counts.as_py())
+                shard = ((w >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+                found, first = np.unique(shard, return_index=True)
                 rows = [
-                    (int(s), block.as_py(), packed(w[places[x:y]]), packed(c[places[x:y]]), None, None)
-                    for s, x, y in zip(found, first[:-1], first[1:], strict=True)
+                    (int(s), block.as_py(), packed(rises(w[x:y])), packed(c[x:y]), None, None)
+                    for s, x, y in zip(found, first, np.append(first[1:], len(w)), strict=True)
                 ]
                 yield from messages(rows).to_batches()
 
@@ -138,42 +159,48 @@ def ask_words(parts: DataFrame, shards: int) -> DataFrame:
 
 
 def answer_words(asked: DataFrame, shards: int) -> DataFrame:
-    """Per message, the corpus counts (``a``) and ids (``b``) of its words; ids are small for frequent words and set
-    shards apart. In the first row of a shard ``c`` holds its sums: tokens and distinct words."""
+    """Per message, the ranks of its words in the shard (``b``), from frequent to rare, and their corpus counts, as steps
+    down in order of rank (``a``). In the first row of a shard ``c`` holds its sums: tokens and distinct words."""
 
     def answer(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
-        words = [unpacked(x.as_py()).view(np.uint64) for x in group.column("a")]
+        words = [np.cumsum(unpacked(x.as_py())).view(np.uint64) for x in group.column("a")]
         counts = np.concatenate([unpacked(x.as_py()) for x in group.column("b")])
         distinct, inverse = np.unique(np.concatenate(words), return_inverse=True)
         total = np.bincount(inverse, counts, len(distinct)).astype(np.int64)
+        falling = np.lexsort((distinct, -total))
         rank = np.empty(len(distinct), np.int64)
-        rank[np.lexsort((distinct, -total))] = np.arange(len(distinct))
-        ids = rank * shards + shard
+        rank[falling] = np.arange(len(distinct))
+        total = total[falling]
         ends = np.cumsum([len(w) for w in words])
         rows = []
-        for k, (block, own) in enumerate(zip(group.column("block"), np.split(inverse, ends[:-1]), strict=True)):
+        for k, (block, own) in enumerate(zip(group.column("block"), np.split(rank[inverse], ends[:-1]), strict=True)):
             sums = packed(np.array([total.sum(), (total > 0).sum()])) if k == 0 else None
-            rows.append((shard, block.as_py(), packed(total[own]), packed(ids[own]), sums, None))
+            rows.append((shard, block.as_py(), packed(np.abs(rises(total[np.sort(own)]))), packed(own), sums, None))
         return messages(rows)
 
     return asked.groupBy("shard").applyInArrow(answer, MESSAGE)
 
 
 class Block:
-    """A block with its words' corpus counts and ids filled in."""
+    """A block with its words' corpus counts and ids filled in; ids are small for frequent words and set shards apart."""
+
+    #: The columns that it is made of.
+    COLUMNS = ("block", "held", "lengths", "tokens", "places")
 
     def __init__(self, row: pa.Table, answers: pa.Table, shards: int):
         get = lambda name: row.column(name)[0].as_py()
-        self.number, self.ids, self.held = get("block"), row.column("ids").combine_chunks().flatten(), get("held")
-        self.lengths, self.tokens = unpacked(get("lengths")), unpacked(get("tokens"))
-        words = unpacked(get("words")).view(np.uint64)
-        places, found, first = word_order(words, shards)
-        self.count, self.id = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        spans = {int(s): places[a:b] for s, a, b in zip(found, first[:-1], first[1:], strict=True)}
+        self.number, self.held = get("block"), get("held")
+        self.lengths, self.tokens, places = (unpacked(get(x)) for x in ("lengths", "tokens", "places"))
+        self.count, self.id = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
+        answers, at = answers.sort_by("shard"), 0
         for shard, a, b in zip(*(answers.column(x) for x in ("shard", "a", "b")), strict=True):
-            own = spans[shard.as_py()]
-            self.count[own], self.id[own] = unpacked(a.as_py()), unpacked(b.as_py())
+            steps, rank = unpacked(a.as_py()), unpacked(b.as_py())
+            own, at = places[at : at + len(rank)], at + len(rank)
+            self.count[own[np.argsort(rank)]] = 2 * steps[:1] - np.cumsum(steps)
+            self.id[own] = rank * shards + shard.as_py()
+        if at < len(places):
+            raise ValueError(f"block {self.number} got {at} answers to {len(places)} words")
         self.before = np.concatenate([[0], self.tokens[:-1]])  # a text begins after an end
 
     def pairs(self, shards: int, hot: float):
@@ -205,7 +232,8 @@ def backoff(count: np.ndarray) -> np.ndarray:
 
 def ask_pairs(parts: DataFrame, words: DataFrame, shards: int, hot: float, n: int, v: int) -> DataFrame:
     """Each block's distinct pairs to their shards: contexts with their counts and numbers of successors, packed
-    together (``a``), successors (``b``), training counts (``c``) and codes of the successors' unigram (``d``)."""
+    together (``a``), successors (``b``) as places in a list of the distinct ones, training counts (``c``), and that list:
+    ids and codes of their unigram, as steps (``d``)."""
 
     def ask(row: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block(row, answers, shards)
@@ -216,10 +244,12 @@ def ask_pairs(parts: DataFrame, words: DataFrame, shards: int, hot: float, n: in
             start = np.flatnonzero(np.diff(context[x:y], prepend=-1))
             many = np.diff(np.append(start, y - x))
             own = np.concatenate([np.diff(context[x:y][start], prepend=0), many, of_u[x:y][start]])
-            rows.append((int(s), block.number, *map(packed, (own, successor[x:y], seen[x:y], lower[x:y]))))
+            ids, one, place = np.unique(successor[x:y], return_index=True, return_inverse=True)
+            listed = np.concatenate([rises(ids), folded(rises(lower[x:y][one].astype(np.int64)))])
+            rows.append((int(s), block.number, *map(packed, (own, place, seen[x:y], listed))))
         return messages(rows)
 
-    return parts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(ask, MESSAGE)
+    return parts.select(*Block.COLUMNS).groupBy("block").cogroup(words.groupBy("block")).applyInArrow(ask, MESSAGE)
 
 
 def answer_pairs(asked: DataFrame) -> DataFrame:
@@ -229,7 +259,9 @@ def answer_pairs(asked: DataFrame) -> DataFrame:
         asked, counts = [], []
         for a, b, c, d in zip(*(group.column(x) for x in "abcd"), strict=True):
             step, many, of_u = np.split(unpacked(a.as_py()), 3)
-            asked.append((np.repeat(np.cumsum(step), many), *(unpacked(x.as_py()) for x in (b, c, d))))
+            place, (ids, codes) = unpacked(b.as_py()), np.split(unpacked(d.as_py()), 2)
+            own, lower = np.cumsum(ids)[place], np.cumsum(unfolded(codes))[place]
+            asked.append((np.repeat(np.cumsum(step), many), own, unpacked(c.as_py()), lower))
             counts.append(np.repeat(of_u, many))
         u, w, n, lower = map(np.concatenate, zip(*asked, strict=True))
         trained = np.flatnonzero(n)
@@ -278,7 +310,7 @@ def scored(parts: DataFrame, answers: DataFrame, shards: int, hot: float, n: int
         sums = lambda x: np.add.reduceat(x, starts)
         return pa.table(
             {
-                "doc_id": block.ids,
+                "doc_id": row.column("ids").combine_chunks().flatten(),
                 "held_out": block.held,
                 "n_tokens": block.lengths,
                 "n_known": sums((block.count[block.tokens] > 0).astype(np.int64)),
@@ -288,7 +320,8 @@ def scored(parts: DataFrame, answers: DataFrame, shards: int, hot: float, n: int
             }
         )
 
-    return parts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORED.format(dict(parts.dtypes)["ids"][6:-1]))
+    rows = parts.select(*Block.COLUMNS, "ids")
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORED.format(dict(parts.dtypes)["ids"][6:-1]))
 
 
 def sums_of(answers: DataFrame, column: str, size: int) -> list[int]:

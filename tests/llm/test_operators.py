@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -340,6 +341,34 @@ def test_lm(spark, docs, rows, empty):
     assert lm.score(empty).count() == 0
 
 
+def test_lm_shuffles_little(spark):
+    """Hashes don't travel with the blocks, and what does is packed tightly."""
+    size, words = 120_000, 40_000
+    ranks = np.exp(np.random.default_rng(4).uniform(0, math.log(words), size)).astype(int)
+    texts = [" ".join(f"w{x * 7919 % words:05d}" for x in part) for part in np.split(ranks, 1200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        time.sleep(0.3)
+        found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+    before = shuffled()
+    lm.score(docs, block_tokens=30_000).write.format("noop").mode("overwrite").save()
+    assert 0 < shuffled() - before < 1.8 * sum(map(len, texts))
+
+
+def test_lm_packs_all_integers():
+    values = [np.zeros(0, np.int64), np.array([0]), np.array([255, 256, 0]), np.arange(70_000), np.array([2**63 - 1, 5])]
+    for x in values:
+        assert (lm.unpacked(lm.packed(x)) == x).all() and len(lm.unpacked(lm.packed(x))) == len(x)
+    hashes = np.sort(np.array([0, 1, 2**63, 2**64 - 1, 2**63 + 7], np.uint64))
+    assert (np.cumsum(lm.unpacked(lm.packed(lm.rises(hashes)))).view(np.uint64) == hashes).all()
+    signed = np.array([0, -1, 1, -300, 2**40])
+    assert (lm.unfolded(lm.folded(signed)) == signed).all() and (lm.folded(signed) >= 0).all()
+
+
 def test_elias_fano_and_trie(tmp_path):
     rng = np.random.default_rng(2)
     for values in (np.zeros(0, np.int64), np.array([0]), np.array([5, 5, 9]), np.unique(rng.integers(0, 10**12, 5000)), np.arange(3000)):
