@@ -19,8 +19,11 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .common import WORD, let, row_hash, table, written
 
@@ -65,10 +68,10 @@ def mix(
     if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     goal = targets([r["source_size"] for r in found], weights, share, epochs)
-    plan = spark.createDataFrame(
-        [(r["source"], r["source_size"], t, math.isqrt(r["n"]) + 1) for r, t in zip(found, goal, strict=True)],
-        f"source {dict(docs.dtypes)['source']}, source_size long, target double, ranges long",
-    )
+    kinds = StructType.fromDDL(f"source {dict(docs.dtypes)['source']}, source_size long, target double, ranges long")
+    plan = [(r["source"], r["source_size"], t, math.isqrt(r["n"]) + 1) for r, t in zip(found, goal, strict=True)]
+    # as Arrow: rows as tuples would start Python workers, which then stay beside the executors
+    plan = spark.createDataFrame(pa.Table.from_pylist([dict(zip(kinds.names, x, strict=True)) for x in plan], to_arrow_schema(kinds)), kinds)
     # the first 52 bits of the key as a number in [0, 1); equal keys fall in one range
     place = F.conv(F.substring("key", 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
     rows = rows.withColumnRenamed("source", "_source").join(

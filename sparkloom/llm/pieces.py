@@ -12,6 +12,8 @@ remembered. For a BPE model ``ids`` are these, as the library gives them; for a
 Units of a text whose ends no piece crosses (a word with the spaces before it, the marks after it) are segmented on
 their own and remembered, in tables bounded by bytes; very long units take the same single pass. Characters that no
 piece has are units too and become bytes. Batches are cut by the bytes of their texts, so a task's memory doesn't grow with them.
+Tables outlive a task, beside whatever the executor does next, so a remembered unit is its text, a number, and its ids in an
+array of all ids: less than half of what it takes as an object.
 
 Defined results: a null or empty text gives no pieces and score 0; decoding gives the text back, but for U+2581, which stands
 for a space in the pieces and comes back as one; repeated rows each give a row; extra columns are ignored.
@@ -23,6 +25,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from sys import getsizeof
 from typing import NamedTuple
 
 import ahocorasick
@@ -34,9 +37,12 @@ from .common import slices, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Bytes, by estimate, that a worker's table of units may take; those of pairs take less than half as much.
-REMEMBERED = 160 << 20
+#: Bytes, by estimate, that a worker's table of units may take, and all that it remembers about pairs of pieces.
+REMEMBERED = 64 << 20
+REMEMBERED_PAIRS = 48 << 20
 LONGEST_REMEMBERED = 40
+#: Units of a text that are looked up at a time.
+LOOKED_UP = 1 << 14
 #: A character without a piece scores so much less than the worst piece of a unigram model.
 UNKNOWN_PENALTY = 10.0
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -88,14 +94,64 @@ class Bounded(dict):
         return value
 
 
-class Unit(NamedTuple):
-    """A unit's ids as little-endian 32-bit integers, the UTF-8 text that they decode to, and the ids and score of
-    the best-scored way."""
+class Units(dict):
+    """A number by unit. What is known of the units stands in arrays by that number: where its ids begin in ``flat``,
+    then those of the best-scored way if they are others, the score of that way, and whether the ids decode to it."""
 
-    ids: bytes
-    text: bytes
-    best: bytes
+    def __init__(self, make, older: Units | None = None):
+        super().__init__()
+        self.make, self.older, self.size = make, older, 0
+        self.flat, self.begin, self.other = array("i"), array("q", [0]), array("q")
+        self.score, self.plain = array("d"), bytearray()
+
+    def __missing__(self, unit: str) -> int:
+        older, at, number = self.older, None, len(self.score)
+        if older is not None:
+            at = older.get(unit)
+        if at is None:
+            ids, best, score, plain = self.make(unit)
+        else:
+            start, other, end = older.begin[at], older.other[at], older.begin[at + 1]
+            ids, best, score, plain = older.flat[start:other], older.flat[other:end], older.score[at], older.plain[at]
+        self.flat.extend(ids)
+        self.other.append(len(self.flat))
+        self.flat.extend(best)
+        self.begin.append(len(self.flat))
+        self.score.append(score)
+        self.plain.append(plain)
+        self.size += 25 + 4 * (len(ids) + len(best))
+        if len(unit) <= LONGEST_REMEMBERED:
+            self.size += 100 + getsizeof(unit)
+            self[unit] = number
+        return number
+
+    def of(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, list[float], bool]:
+        """The units' ids, the ids of the best-scored ways, the scores, and whether all ids decode to their units."""
+        at = np.fromiter(map(self.__getitem__, units), np.int64, len(units))
+        # the arrays cannot grow while NumPy reads them, which it does within this call
+        flat, begin, other = (np.frombuffer(x, kind) for x, kind in ((self.flat, np.int32), (self.begin, np.int64), (self.other, np.int64)))
+        start, middle, end = begin[at], other[at], begin[at + 1]
+        ids = best = flat[spans(start, middle)]
+        if (middle < end).any():
+            best = flat[spans(np.where(middle < end, middle, start), end)]
+        return ids, best, np.frombuffer(self.score)[at].tolist(), bool(np.frombuffer(self.plain, np.bool_)[at].all())
+
+
+def spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All positions from each start to before its end."""
+    n = end - start
+    ends = np.cumsum(n)
+    return np.repeat(end - ends, n) + np.arange(ends[-1])
+
+
+class Encoded(NamedTuple):
+    """A text's ids and those of the best-scored way as 32-bit integers, that way's score, and the UTF-8 text that the
+    ids decode to."""
+
+    ids: np.ndarray
+    best: np.ndarray
     score: float
+    text: bytes
 
 
 class Codec:
@@ -125,17 +181,18 @@ class Codec:
         self.surface = [self._surface(p, kind) for p, kind in zip(model.pieces, model.kinds, strict=True)]
         self.known = set("".join(ids))
         self.units = self._units(ids)
-        self.remembered = Bounded(self.unit, 180, REMEMBERED)
-        self.stable = Bounded(self._stable, 120, REMEMBERED // 4)
-        self.halves = Bounded(self._halves, 250, REMEMBERED // 16)
-        self.edges = Bounded(self._edge, 250, REMEMBERED // 16)
+        self.remembered = Units(self.unit)
+        self.stable = Bounded(self._stable, 120, REMEMBERED_PAIRS * 2 // 3)
+        self.halves = Bounded(self._halves, 250, REMEMBERED_PAIRS // 6)
+        self.edges = Bounded(self._edge, 250, REMEMBERED_PAIRS // 6)
 
     def _units(self, pieces: Iterable[str]) -> re.Pattern:
         """Cuts a text where no piece has the characters on both sides next to one another: around characters of no
-        piece, before spaces, and after letters, where no piece goes on from a letter to that character."""
+        piece, before spaces, and after letters, where no piece goes on from a letter to that character. Texts still
+        have their spaces here, and none that stand for them."""
 
         def one_of(chars: Iterable[str]) -> str:
-            return "".join(map(re.escape, sorted(chars)))
+            return "".join(map(re.escape, sorted(set(chars) - {" "}))).replace(SPACE, " ")
 
         known = one_of(self.known)
         if not known:
@@ -146,8 +203,8 @@ class Codec:
         letters = one_of(c for c in self.known if c.isalpha())
         marks = one_of(c for c in self.known if not c.isalpha() and c not in after and c != SPACE)
         rest = one_of(self.known - {SPACE}) or "^\\s\\S"
-        word = f"{SPACE}*[{letters}]++(?:(?=[{marks}])|[{rest}]*)|" if letters and marks else ""
-        return re.compile(f"{word}{SPACE}+[{rest}]*|[{rest}]+|[^{known}{SPACE}]+")
+        word = f" *[{letters}]++(?:(?=[{marks}])|[{rest}]*)|" if letters and marks else ""
+        return re.compile(f"{word} +[{rest}]*|[{rest}]+|[^{known} ]+")
 
     @staticmethod
     def _surface(piece: str, kind: int) -> bytes:
@@ -245,25 +302,39 @@ class Codec:
     def spelt(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode("utf-8", "replace")] if self.bytes else [self.unknown]
 
-    def unit(self, unit: str) -> Unit:
-        if unit[0] not in self.known:
-            ids = [k for c in unit for k in self.spelt(c)]
-            return Unit(packed(ids), self.surfaces(ids), packed(ids), self.worst * len(unit))
-        part, best, score = self.ways(unit)
-        scored = self.path(unit, best)
-        ids = self.path(unit, part) if self.model.bpe and part != best else scored
-        known = packed(ids)
-        return Unit(known, self.surfaces(ids), known if ids == scored else packed(scored), score)
-
-    def split(self, text: str | None) -> list[Unit]:
+    def unit(self, unit: str) -> tuple[list[int], list[int], float, bool]:
+        """A unit's ids, those of the best-scored way (none if they are the same), its score, and whether the ids decode
+        to the unit."""
+        text = unit.replace(" ", SPACE)
+        if text[0] not in self.known:
+            ids, other, score = [k for c in text for k in self.spelt(c)], [], self.worst * len(text)
+        else:
+            part, best, score = self.ways(text)
+            ids = scored = self.path(text, best)
+            if self.model.bpe and part != best:
+                ids = self.path(text, part)
+            other = scored if ids != scored else []
+        return ids, other, score, self.surfaces(ids) == unit.encode("utf-8", "replace")
+
+    def split(self, text: str | None) -> Encoded:
         if not text:
-            return []
-        text = (SPACE if self.model.dummy_prefix else "") + text.replace(" ", SPACE)
-        known, cut = self.remembered, LONGEST_REMEMBERED
-        return [known[u] if len(u) <= cut else self.unit(u) for u in self.units.findall(text)]
+            return Encoded(NO_IDS, NO_IDS, 0.0, b"")
+        text = (" " if self.model.dummy_prefix else "") + text.replace(SPACE, " ")
+        units = self.units.findall(text)
+        found, scores = [], []
+        for k in range(0, len(units), LOOKED_UP):
+            if self.remembered.size > REMEMBERED // 2:  # units not asked for since the last half was filled are forgotten
+                self.remembered.older = None
+                self.remembered = Units(self.unit, self.remembered)
+            *one, score, plain = self.remembered.of(units[k : k + LOOKED_UP])
+            found.append((*one, plain))
+            scores += score
+        ids, best = (np.concatenate([x[k] for x in found]) if len(found) > 1 else found[0][k] for k in (0, 1))
+        plain = all(x[2] for x in found) and "".join(units) == text
+        return Encoded(ids, best, float(sum(scores)), text.encode("utf-8", "replace") if plain else self.surfaces(ids.tolist()))
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(b"".join(u.ids for u in self.split(text)), "<i4").tolist()
+        return self.split(text).ids.tolist()
 
     def surfaces(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.surface.__getitem__, ids))
@@ -276,10 +347,7 @@ class Codec:
         return self.shown(self.surfaces(ids))
 
 
-def packed(ids: list[int]) -> bytes:
-    """As little-endian 32-bit integers, as all machines that run this have them."""
-    return array("i", ids).tobytes()
-
+NO_IDS = np.empty(0, np.int32)
 
 _codecs: dict[int, Codec] = {}
 
@@ -312,20 +380,19 @@ def encode(docs: DataFrame, model: Model, with_ids: bool = True) -> DataFrame:
         flat, ends = [], [0]
         for x in part.column(1):
             text = x.as_py() or ""
-            units = own.split(text)
-            ids, best = b"".join(u.ids for u in units), b"".join(u.best for u in units)
+            of = own.split(text)
             if with_ids:
-                flat.append(ids)
-                ends.append(ends[-1] + len(ids) // 4)
-            found["n_pieces"].append(len(ids) // 4)
-            found["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
-            found["round_trip"].append(own.shown(b"".join(u.text for u in units)) == text)
-            found["viterbi_pieces"].append(len(best) // 4)
-            found["viterbi_score"].append(float(sum(u.score for u in units)))
-            found["viterbi_sha256"].append(hashlib.sha256(best).hexdigest())
+                flat.append(of.ids)
+                ends.append(ends[-1] + len(of.ids))
+            found["n_pieces"].append(len(of.ids))
+            found["ids_sha256"].append(hashlib.sha256(of.ids.astype("<i4", copy=False)).hexdigest())
+            found["round_trip"].append(own.shown(of.text) == text)
+            found["viterbi_pieces"].append(len(of.best))
+            found["viterbi_score"].append(of.score)
+            found["viterbi_sha256"].append(hashlib.sha256(of.best.astype("<i4", copy=False)).hexdigest())
         columns = {c: pa.array(v, COLUMNS[c][1]) for c, v in found.items() if c != "ids"}
         if with_ids:
-            values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(flat))])
+            values = pa.array(np.concatenate([NO_IDS, *flat]), pa.int32())
             columns["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
         return pa.RecordBatch.from_arrays([part.column(0), *(columns[c] for c in names)], ["doc_id", *names])
 
@@ -334,6 +401,7 @@ def encode(docs: DataFrame, model: Model, with_ids: bool = True) -> DataFrame:
         for part in parts:
             for piece in slices(part, 1):
                 yield rows(own, piece)
+        pa.default_memory_pool().release_unused()
 
     spec = ", ".join(f"{c} {COLUMNS[c][0]}" for c in names)
     return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {dict(docs.dtypes)['doc_id']}, {spec}")

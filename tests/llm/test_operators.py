@@ -504,6 +504,35 @@ def test_pieces_fuzz():
         assert codec.encode(text) == library.encode(text)
 
 
+def test_remembered_units_are_small_and_may_be_forgotten(monkeypatch):
+    import sentencepiece
+    import tracemalloc
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = np.random.default_rng(9)
+    texts = [" ".join("".join(rng.choice(list("etaoin"), 8)) for _ in range(500)) for _ in range(20)]
+    codec = pieces.Codec(pieces.read_model())
+    for text in texts:  # pairs of pieces, all of which are then known
+        codec.encode(text)
+    codec.remembered.clear()
+    tracemalloc.start()
+    try:
+        codec.encode(" ".join(texts))
+        units = len(codec.remembered)
+        before = tracemalloc.get_traced_memory()[0]
+        codec.remembered = None
+        assert units > 9000 and before - tracemalloc.get_traced_memory()[0] < 260 * units
+    finally:
+        tracemalloc.stop()
+    monkeypatch.setattr(pieces, "REMEMBERED", 50_000)
+    monkeypatch.setattr(pieces, "LOOKED_UP", 64)
+    codec = pieces.Codec(pieces.read_model())
+    odd = "x" * 50 + " é漢\U0001f600  ▁ " + "ab" * 30
+    for text in [*texts, odd, texts[0], texts[1] + odd, "", odd]:
+        assert codec.encode(text) == library.encode(text) and codec.split(text).text.decode() == (text and " ") + text.replace("▁", " ")
+    assert codec.remembered.older is not None
+
+
 def test_unigram_viterbi_is_optimal():
     words = ["▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "▁ab", "ca", "cab"]
     scores = [-2.0, -2.5, -2.5, -2.6, -3.1, -3.3, -4.9, -2.9, -4.0, -3.6, -5.0]
@@ -581,6 +610,11 @@ def test_viterbi_columns_against_all_segmentations(spark):
                 assert got[k]["viterbi_pieces"] == got[k]["n_pieces"] and got[k]["viterbi_sha256"] == got[k]["ids_sha256"]
 
 
+def test_the_mix_is_planned_without_python_workers(spark, docs):
+    plan = mixing.mix(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ExternalRDD" not in plan and "ExistingRDD" not in plan and "LogicalRDD" not in plan
+
+
 SF = "/root/testdata/sf0.001"
 
 
